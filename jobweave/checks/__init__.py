@@ -26,6 +26,6 @@ CHECKS = Checks()
 
 
 def load() -> Checks:
-    from . import catalogue, columns  # noqa: F401
+    from . import catalogue, columns, feeds  # noqa: F401
 
     return CHECKS
