@@ -49,7 +49,8 @@ def _finder(terms: tuple[str, ...], first: int):
             return batches.map(lambda _: [])
         return batches.map(lambda text: [c + 2 * first for c in _codes(auto, text)])
 
-    return find
+    # Keeps the optimizer from inlining, and so repeating, a costly search.
+    return find.asNondeterministic()
 
 
 _CACHE: dict[tuple[str, ...], object] = {}
@@ -77,6 +78,20 @@ def find_terms(terms: Sequence[str], chunk: int = MAX_TERMS):
     return apply
 
 
+def find_each(terms: Sequence[str]):
+    """As find_terms for a column of several texts: array<array<int>>."""
+    words = tuple(terms)
+    if len(words) > MAX_TERMS:
+        raise ValueError(f"vocabulary of {len(words)} words, limit {MAX_TERMS}")
+
+    @pandas_udf("array<array<int>>")
+    def find(batches: pd.Series) -> pd.Series:
+        auto = _cached(words)
+        return batches.map(lambda texts: [_codes(auto, t) for t in (texts if texts is not None else [])])
+
+    return find.asNondeterministic()
+
+
 def hit_ids(codes: Column) -> Column:
     """Vocabulary numbers of the words found."""
     return F.transform(codes, lambda c: F.shiftright(c, 1))
