@@ -26,6 +26,6 @@ CHECKS = Checks()
 
 
 def load() -> Checks:
-    from . import catalogue, columns, feeds, profiles  # noqa: F401
+    from . import catalogue, columns, feeds, matching, profiles  # noqa: F401
 
     return CHECKS

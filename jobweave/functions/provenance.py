@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import vocab
-from .text import clean, has, norm, joined
+from .text import clean, has, joined, let, norm
 
 # --- fixed values: display classes of provenance prefixes ---------------------
 DIRECT = "企业招聘官网 · 自主直连"
@@ -58,17 +58,27 @@ def source_tier(source: Column, label: Column, existing: Column | None = None) -
     return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(7), existing.cast("int"))), derived)
 
 
-def source_score(tier: Column, *texts: Column) -> Column:
+# --- fixed values: what labels and links say about a source, best first --------
+SCORE_WORDS = [
+    (7, "direct-official|自主直连|招聘官网|mokahr"), (6, r"企业官方|官方招聘|feishu|beisen|zhiye\.com"),
+    (5, "国资委|sasac|政府|官方公告"), (4, "国家大学生就业|ncss"), (3, "高校就业"),
+]
+SCORE_WORDS_V9 = [
+    (7, "direct-official|自主直连|招聘官网"), (6, r"企业官方|官方招聘|官方 ats|feishu|beisen|zhiye\.com"),
+    (5, "国资委|sasac|政府|官方公告"), (4, "国家大学生就业|ncss"), (3, "校园就业|高校就业网|高校就业"),
+]
+
+
+def source_score(tier: Column, *texts: Column, words: list[tuple[int, str]] = SCORE_WORDS) -> Column:
     """The tier when it is at least 3, else what the labels and links say."""
-    blob = F.coalesce(norm(joined(*texts)), F.lit(""))
-    by_text = (
-        F.when(blob.rlike("direct-official|自主直连|招聘官网|mokahr"), 7)
-        .when(blob.rlike(r"企业官方|官方招聘|feishu|beisen|zhiye\.com"), 6)
-        .when(blob.rlike("国资委|sasac|政府|官方公告"), 5)
-        .when(blob.rlike("国家大学生就业|ncss"), 4)
-        .when(blob.contains("高校就业"), 3)
-        .otherwise(1)
-    )
+
+    def read(blob: Column) -> Column:
+        out = F.lit(1)
+        for points, pattern in reversed(words):
+            out = F.when(blob.rlike(pattern), points).otherwise(out)
+        return out
+
+    by_text = let(F.coalesce(norm(joined(*texts)), F.lit("")), read)
     return F.when(tier >= 3, F.least(tier, F.lit(7))).otherwise(by_text)
 
 

@@ -18,6 +18,7 @@ from . import keys
 from .terms import find_terms, hit_ids
 
 C = F.col
+MAX_REGISTRY = 20_000
 
 
 def dedupe_by_id(df: DataFrame) -> DataFrame:
@@ -253,6 +254,8 @@ def official_lookup(rows: DataFrame, registry: Sequence[tuple[str, str]]) -> Dat
     Names inside the row's company are found by one multi-pattern search; the
     other direction is an equi-join on the pieces of the (short) registry names.
     """
+    if len(registry) > MAX_REGISTRY:
+        raise ValueError(f"registry of {len(registry)} companies, limit {MAX_REGISTRY}")
     spark = rows.sparkSession
     names = list(dict.fromkeys(n for n, _ in registry))
     first = {}

@@ -295,8 +295,8 @@ def _ingested(weight: Column, label: Column, scores: Column, codes: Column, look
 def section_profile(df: DataFrame, taxonomy: Taxonomy, text: Column, whole_weight: int = 72) -> DataFrame:
     """Whole text and sections scored apart and combined by section weight.
 
-    Adds ``sections``, ``domains`` (top six of the combination),
-    ``recommended_roles`` and ``skills``.
+    Adds ``sections``, ``career`` (scores of the whole text alone), ``domains``
+    (top six of the combination), ``recommended_roles`` and ``skills``.
     """
     find, find_all = find_terms(taxonomy.words()), find_each(taxonomy.words())
     lookup, roles = by_word(taxonomy), F.lit([list(d.roles) or [""] for d in taxonomy.domains])
@@ -376,7 +376,7 @@ def section_profile(df: DataFrame, taxonomy: Taxonomy, text: Column, whole_weigh
         return F.slice(F.transform(counted, lambda t: t["r"]), 1, 14)
 
     skills = F.slice(F.array_distinct(F.flatten(F.transform("__all", lambda g: g["skills"]))), 1, 64)
-    step = step.withColumns({"domains": let(let(rows, combine), finish), "recommended_roles": let(votes, ranked_roles), "skills": skills})
+    step = step.withColumns({"career": F.get("__all", F.lit(0))["scores"], "domains": let(let(rows, combine), finish), "recommended_roles": let(votes, ranked_roles), "skills": skills})
     return step.drop(*[c for c in step.columns if c.startswith("__")])
 
 
