@@ -26,6 +26,6 @@ CHECKS = Checks()
 
 
 def load() -> Checks:
-    from . import catalogue, columns, feeds, matching, profiles  # noqa: F401
+    from . import applications, catalogue, columns, feeds, graph, matching, pages, profiles, scorers, streams  # noqa: F401
 
     return CHECKS

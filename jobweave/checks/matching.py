@@ -280,7 +280,7 @@ def weighted_sql(query: str) -> str:
     return f"select ord, updated_at, ({boost})::bigint as boost from (select ord, updated_at, {', '.join(f'{S.blank(S.norm(c))} as n_{c}' for c in fields)} from postings) where {every}"
 
 
-SEARCH_QUERY = "red widget"
+SEARCH_QUERY = "widget"
 
 
 @CHECKS.add("search_weighted", S.with_postings(f"select ord, boost from ({weighted_sql(SEARCH_QUERY)})"))
@@ -292,14 +292,14 @@ def search_weighted(spark, sf):
     "search_scored",
     with_people(
         """select f.ord, boost, coalesce(case when r.ord is not null then coalesce(n.score, 0) end, -1.0::double) as scored from found f left join ranked r on r.ord = f.ord
-          left join (select ord, score from final where profile_id = (select min(profile_id) from person)) n on n.ord = r.ord where n.ord is not null or r.ord is null""",
+          left join (select ord, score from final where profile_id = (select profile_id from person order by p_conf desc, profile_id limit 1)) n on n.ord = r.ord where n.ord is not null or r.ord is null""",
         found=weighted_sql(SEARCH_QUERY),
         ranked="select ord from found order by boost desc, updated_at desc, ord limit 1200",
     ),
 )
 def search_scored(spark, sf):
     b = batch(spark, sf)
-    first = b.profiles.agg(F.min("profile_id")).first()[0]
+    first = b.profiles.orderBy(C("p_conf").desc(), "profile_id").first()["profile_id"]
     df = plan.search_scored(fixtures.postings(spark, sf), b, first, SEARCH_QUERY, AS_OF)
     # Rows sharing no domain with the profile are left to the scorer's own test.
     unrelated = features.candidate_pairs(features.job_features(fixtures.postings(spark, sf), b, AS_OF), b).filter(C("profile_id") == first).select("ord")

@@ -99,9 +99,9 @@ def profile_ctes(resumes: str) -> dict[str, str]:
         **K.sections("resumes"),
         "entries": K.entries(),
         "roles": K.roles(),
-        "parts": f"""select *, profile_id * 1000 + no as pid from (select profile_id, 0 as no, 72 as weight, '全文' as label, text from resumes
+        "cv_parts": f"""select *, profile_id * 1000 + no as pid from (select profile_id, 0 as no, 72 as weight, '全文' as label, text from resumes
           union all select profile_id, sec + 1, weight, label, text from sections where length({K.tidy('text')}) >= 12)""",
-        "part": f"select profile_id, pid, no, weight, label, coalesce({S.norm('text')}, '') as body, '' as title, coalesce({S.norm(K.major('text'))}, '') as major from parts",
+        "part": f"select profile_id, pid, no, weight, label, coalesce({S.norm('text')}, '') as body, '' as title, coalesce({S.norm(K.major('text'))}, '') as major from cv_parts",
         **K.scored("part", "pid", 14),
         "mixed": "select profile_id, no, label, t.d, t.i, score10 * weight as v, evidence from part_top t join part using (pid)",
         "totals": "select profile_id, d, sum(v) as total from mixed group by profile_id, d",

@@ -103,7 +103,7 @@ def _number(base: DataFrame, words: list[str], taxonomy: Taxonomy) -> DataFrame:
         ids(keyword & (C("raw_size") > 2)).alias("add_kw"),
         ids(role).alias("role_all"),
         ids(role & size_ok(C("size"), 3)).alias("role_long"),
-        F.concat(ids(role & size_ok(C("size"), 3)), ids(skill & (C("i") < 24) & size_ok(C("size"), 3))).alias("title_terms"),
+        ids(skill & (C("i") < 24) & size_ok(C("size"), 3)).alias("sk_24"),
         ids(skill & (C("i") < 30) & size_ok(C("size"), 3)).alias("sk_30"),
         ids(skill & (C("i") < 14) & size_ok(C("size"), 3)).alias("sk_14"),
         *[ids(skill & (C("i") < 36) & (C("v9") == w)).alias(f"v9_{w}") for w in (45, 135, 115, 100)],
