@@ -113,7 +113,7 @@ def both(df, *cols):
 @CHECKS.add("domain_fit", with_people("select profile_id, ord, d10::bigint as d10, exact::bigint as exact from domain_part"))
 def domain_fit(spark, sf):
     b, p = pairs(spark, sf)
-    return both(scoring.domain_fit(p, TAX), big(C("direction10")).alias("d10"), big(C("exact")).alias("exact"))
+    return both(scoring.domain_fit(p), big(C("direction10")).alias("d10"), big(C("exact")).alias("exact"))
 
 
 @CHECKS.add("skill_fit", with_people(f"select profile_id, ord, {S.one_dp('skill_points')} as points, hits::bigint as hits from parts"))
@@ -131,20 +131,20 @@ def career_fit(spark, sf):
 @CHECKS.add("place_eligibility", with_people("select profile_id, ord, place::bigint as place, e10::bigint as e10, unmet::bigint as unmet from parts"))
 def place_eligibility(spark, sf):
     b, p = pairs(spark, sf)
-    df = scoring.place_eligibility(scoring.domain_fit(p, TAX))
+    df = scoring.place_eligibility(scoring.domain_fit(p))
     return both(df, big(C("place")).alias("place"), big(C("eligibility10")).alias("e10"), big(C("degree_unmet")).alias("unmet"))
 
 
 @CHECKS.add("score_base", with_people("select profile_id, ord, base_score, bcap::bigint as cap from based"))
 def score_base(spark, sf):
     b, p = pairs(spark, sf)
-    return both(scoring.score_pairs(p, TAX), "base_score", big(C("base_cap")).alias("cap"))
+    return both(scoring.score_pairs(p), "base_score", big(C("base_cap")).alias("cap"))
 
 
 @CHECKS.add("score_final", with_people("select profile_id, ord, score, cap::bigint as cap, fit_core from final"))
 def score_final(spark, sf):
     b, p = pairs(spark, sf)
-    return both(scoring.score_pairs(p, TAX), "score", big(C("cap")).alias("cap"), "fit_core")
+    return both(scoring.score_pairs(p), "score", big(C("cap")).alias("cap"), "fit_core")
 
 
 BAND_SQL = """case when score >= 92 then '强烈推荐' when score >= 85 then '高度匹配' when score >= 78 then '值得优先' when score >= 68 then '可投 · 有缺口' when score >= 55 then '谨慎评估' else '低匹配' end"""
@@ -154,7 +154,7 @@ SURE_SQL = "case when sure >= 85 then '高可信' when sure >= 68 then '中高
 @CHECKS.add("evidence_bands", with_people(f"select profile_id, ord, sure, {BAND_SQL} as band, {SURE_SQL} as sure_band from final"))
 def evidence_bands(spark, sf):
     b, p = pairs(spark, sf)
-    df = scoring.score_pairs(p, TAX).withColumn("sure", scoring.evidence_confidence())
+    df = scoring.score_pairs(p).withColumn("sure", scoring.evidence_confidence())
     return both(df, big(C("sure")).alias("sure"), scoring.fit_band(C("score")).alias("band"), scoring.evidence_band(C("sure")).alias("sure_band"))
 
 
@@ -321,7 +321,7 @@ def fresh_filter(spark, sf):
 )
 def order_results(spark, sf):
     b, p = pairs(spark, sf)
-    scored = scoring.score_pairs(p, TAX)
+    scored = scoring.score_pairs(p)
     shown = [search.order_results(scored.withColumn("ord", F.struct("ord", "profile_id")), m).select(F.lit(m).alias("mode"), "profile_id", C("ord.ord").alias("ord")) for m in ("match", "fresh")]
     return shown[0].unionByName(shown[1])
 
@@ -344,7 +344,7 @@ def exclude_hidden(spark, sf):
 )
 def market_summary(spark, sf):
     b, p = pairs(spark, sf)
-    df = search.market_summary(scoring.score_pairs(p, TAX), fixtures.postings(spark, sf))
+    df = search.market_summary(scoring.score_pairs(p), fixtures.postings(spark, sf))
     return df.select(*[big(C(c)).alias(c) for c in df.columns])
 
 

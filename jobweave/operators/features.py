@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions import dates, provenance, signals
-from ..functions.text import clean, joined, let, norm
+from ..functions.text import clean, joined, norm
 from ..session import stage
 from ..taxonomy import Taxonomy, norm_py
 from . import profiles as P
@@ -113,11 +113,20 @@ def _number(base: DataFrame, words: list[str], taxonomy: Taxonomy) -> DataFrame:
     filled = base.join(grouped, "profile_id", "left")
     filled = filled.withColumns({a: F.coalesce(C(a), F.array().cast("array<int>")) for a in arrays} | {t: F.coalesce(C(t), F.lit(0)) for t in ("sk_total", "v9_total")})
     top = F.slice("career", 1, 4)
+    domain_names = F.lit([norm_py(d.name) for d in taxonomy.domains])
+    targets = F.filter(
+        F.transform(
+            domain_names,
+            lambda name, d: F.when(F.exists("target_directions", lambda t: name.contains(norm(t)) | norm(t).contains(name)), d).otherwise(-1),
+        ),
+        lambda d: d >= 0,
+    )
     reach = [[j for j in range(len(taxonomy.domains)) if taxonomy.related(d.id, taxonomy.domains[j].id)] for d in taxonomy.domains]
     return stage(
         filled.select(
             "profile_id",
             F.transform(top, lambda r: r["d"]).alias("p_top"),
+            direction_codes(F.transform(top, lambda r: r["d"]), taxonomy).alias("p_codes"), targets.alias("p_targets"),
             F.coalesce(F.get("career", F.lit(0))["confidence"], F.lit(0)).alias("p_conf"),
             F.array_distinct(F.flatten(F.transform(top, lambda r: F.get(F.lit(reach), r["d"])))).alias("p_reach"),
             F.transform(F.slice("career", 1, 5), lambda r: F.struct(r["d"].alias("d"), r["confidence"].alias("c"))).alias("p_dirs"),
@@ -128,26 +137,65 @@ def _number(base: DataFrame, words: list[str], taxonomy: Taxonomy) -> DataFrame:
     )
 
 
+def direction_codes(p_top: Column, taxonomy: Taxonomy) -> Column:
+    """Best direction points per posting domain d and its rank k, at 4*d+k.
+
+    A code is tenths of points * 100 + tie-break (earlier pairs higher) * 2 +
+    whether the domains are equal, so the greatest code is the pair to take.
+    """
+    n = len(taxonomy.domains)
+    kin = F.lit([2 if a == b else int(taxonomy.related(taxonomy.domains[a].id, taxonomy.domains[b].id)) for a in range(n) for b in range(n)])
+    places = F.sequence(F.lit(0), F.lit(4 * n - 1))
+
+    def best(place: Column) -> Column:
+        d, k = F.floor(place / 4).cast("int"), place % 4
+
+        def code(p: Column, i: Column) -> Column:
+            near = F.get(kin, p * n + d)
+            tie = (15 - (i * 4 + k)) * 2
+            same, related = (300 - 45 * i - 40 * k) * 100 + tie + 1, (140 - 22 * i - 20 * k) * 100 + tie
+            return F.when(near == 2, same).when(near == 1, related).otherwise(0)
+
+        return F.coalesce(F.array_max(F.transform(p_top, code)), F.lit(0))
+
+    return F.transform(places, best)
+
+
 def size_ok(c: Column, least: int) -> Column:
     return c >= least
 
 
-def job_body() -> Column:
-    return joined(C("jd"), C("department"), C("industry"))
+TEXT_FIELDS = ["role", "department", "industry", "jd", "batch", "graduation"]
+
 
+def side_by_side(*fields: str) -> Column:
+    """Normalised fields in a row; equals normalising the joined raw fields."""
+    return F.coalesce(F.concat_ws(" ", *[C(f"__{f}") for f in fields]), F.lit(""))
 
-def career_text() -> Column:
-    return joined(C("role"), C("department"), C("industry"), C("jd"))
+
+def lower_has(blob: Column, pattern: str) -> Column:
+    """Pattern search in lower-case text, without case folding."""
+    return blob.rlike(pattern.removeprefix("(?i)"))
 
 
 def job_features(jobs: DataFrame, batch: Batch, as_of: str) -> DataFrame:
-    """Everything the scorers need of a posting, without its texts."""
+    """Everything the scorers need of a posting, without its texts.
+
+    Every field is normalised once; all longer texts are put together from
+    the normalised fields.
+    """
     find = find_terms(batch.words)
-    classified = P.classify(jobs, batch.taxonomy, career_text(), title=C("role"), out="__scores")
-    found = classified.withColumns({"__title": norm(C("role")), "__body": norm(job_body())}).withColumns(
-        {"__t": find(C("__title")), "__b": find(C("__body"))}
+    normal = jobs.withColumns({f"__{c}": norm(C(c)) for c in TEXT_FIELDS})
+    texts = normal.withColumns(
+        {
+            "__career": side_by_side("role", "department", "industry", "jd"),
+            "__body": side_by_side("jd", "department", "industry"),
+            "__blob": side_by_side("role", "batch", "graduation", "jd"),
+        }
     )
-    blob_years = signals.cohort_years(norm(joined(C("role"), C("batch"), C("graduation"), C("jd"))))
+    classified = P.classify(texts, batch.taxonomy, C("__career"), title=C("__role"), out="__scores", normal=True)
+    found = classified.withColumns({"__t": find(C("__role")), "__b": find(C("__body"))})
+    flags = F.struct(*[lower_has(C("__blob"), p).alias(n) for n, p in (("campus", vocab.CAMPUS), ("intern", vocab.INTERN), ("senior", vocab.SENIOR), ("social", vocab.SOCIAL))])
     age = dates.age_days(dates.parse_date(C("updated_at")), as_of)
     return found.select(
         "ord", "id", "company", "role", "location", "updated_at", "company_type", "batch",
@@ -157,8 +205,8 @@ def job_features(jobs: DataFrame, batch: Batch, as_of: str) -> DataFrame:
         hit_ids(C("__t")).alias("title_ids"),
         hit_ids(C("__b")).alias("body_ids"),
         F.array_union(hit_ids(C("__t")), hit_ids(C("__b"))).alias("all_ids"),
-        signals.career_flags(C("role"), C("batch"), C("graduation"), C("jd")).alias("flags"),
-        blob_years.alias("blob_years"),
+        flags.alias("flags"),
+        signals.cohort_years(C("__blob")).alias("blob_years"),
         signals.cohort_years(C("graduation")).alias("cohort_years"),
         F.regexp_extract_all(joined(C("graduation"), C("batch"), C("role")), F.lit("(20[0-9]{2})"), F.lit(1)).alias("any_years"),
         clean(C("graduation")).isNotNull().alias("has_cohort"),

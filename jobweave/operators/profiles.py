@@ -160,17 +160,21 @@ def classify_scores(domains: Column, taxonomy: Taxonomy, top: int = 7) -> Column
 
 def domain_scores(
     df: DataFrame, taxonomy: Taxonomy, text: Column, title: Column | None = None, major: Column | None = None,
-    resume: bool = False, out: str = "domains",
+    resume: bool = False, out: str = "domains", normal: bool = False,
 ) -> DataFrame:
-    """All domains with a score: title hits weigh 1.85, major-text hits 1.55."""
+    """All domains with a score: title hits weigh 1.85, major-text hits 1.55.
+
+    ``normal`` says the texts are normalised already.
+    """
     find = find_terms(taxonomy.words())
+    fix = (lambda c: c) if normal else norm
     step = df.withColumns(
-        {"__body": norm(text), "__title": norm(title) if title is not None else F.lit(None).cast("string"),
-         "__major": norm(major) if major is not None else F.lit(None).cast("string")}
+        {"__body_n": fix(text), "__title_n": fix(title) if title is not None else F.lit(None).cast("string"),
+         "__major_n": fix(major) if major is not None else F.lit(None).cast("string")}
     )
-    found = {"__bc": find(C("__body"))}
-    found |= {"__tc": find(C("__title"))} if title is not None else {}
-    found |= {"__mc": find(C("__major"))} if major is not None else {}
+    found = {"__bc": find(C("__body_n"))}
+    found |= {"__tc": find(C("__title_n"))} if title is not None else {}
+    found |= {"__mc": find(C("__major_n"))} if major is not None else {}
     # Search results are bound outside the lambdas that use them.
     hits = F.struct(
         C("__bc").alias("body"),
@@ -185,11 +189,13 @@ def domain_scores(
         )
         return let(items, lambda i: _per_domain(i, 12))
 
-    return step.withColumns(found).withColumn(out, let(hits, score)).drop("__body", "__title", "__major", *found)
+    return step.withColumns(found).withColumn(out, let(hits, score)).drop("__body_n", "__title_n", "__major_n", *found)
 
 
-def classify(df: DataFrame, taxonomy: Taxonomy, text: Column, title: Column | None = None, resume: bool = False, out: str = "scores") -> DataFrame:
-    scored = domain_scores(df, taxonomy, text, title, major_window(text) if resume else None, resume, out="__domains")
+def classify(
+    df: DataFrame, taxonomy: Taxonomy, text: Column, title: Column | None = None, resume: bool = False, out: str = "scores", normal: bool = False
+) -> DataFrame:
+    scored = domain_scores(df, taxonomy, text, title, major_window(text) if resume else None, resume, "__domains", normal)
     return scored.withColumn(out, classify_scores(C("__domains"), taxonomy)).drop("__domains")
 
 

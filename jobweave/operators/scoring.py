@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import norm, one_decimal, round_half_up
-from ..taxonomy import Taxonomy, norm_py
+from ..functions.text import one_decimal, round_half_up
+from ..taxonomy import Taxonomy
 
 C = F.col
 
@@ -18,34 +18,20 @@ def overlap(a: Column | str, b: Column | str) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def domain_fit(pairs: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+def domain_fit(pairs: DataFrame) -> DataFrame:
     """Adds direction10 (tenths of 30), exact, related, mismatch."""
-    edges = taxonomy.edge_codes()
-    names = F.lit([norm_py(d.name) for d in taxonomy.domains])
-
-    def value(p: Column, i: Column, j_top: Column) -> Column:
-        def one(j: Column, k: Column) -> Column:
-            points = F.when(p == j, 300 - 45 * i - 40 * k).when(F.array_contains(edges, p * 10_000 + j), 140 - 22 * i - 20 * k).otherwise(0)
-            return F.struct(points.alias("v"), (-i).alias("i"), (-k).alias("k"), (p == j).alias("same"))
-
-        return F.transform(j_top, one)
-
-    grid = F.flatten(F.transform("p_top", lambda p, i: value(p, i, C("j_top"))))
-    best = F.array_max(grid)
-    wanted = F.exists(
-        "target_directions",
-        lambda t: F.exists("j_top", lambda d: F.get(names, d).contains(norm(t)) | norm(t).contains(F.get(names, d))),
-    )
-    out = pairs.withColumn("__best", best).withColumn("__v", F.coalesce(C("__best.v"), F.lit(0)))
+    code = F.coalesce(F.array_max(F.transform("j_top", lambda j, k: F.get("p_codes", j * 4 + k))), F.lit(0))
+    out = pairs.withColumn("__code", code).withColumn("__v", F.floor(C("__code") / 100).cast("int"))
     both = (F.size("p_top") > 0) & (F.size("j_top") > 0)
+    wanted = F.arrays_overlap("p_targets", "j_top")
     return out.withColumns(
         {
             "direction10": F.when(both & wanted, F.least(F.lit(300), C("__v") + 20)).otherwise(C("__v")),
-            "exact": (C("__v") > 0) & C("__best.same"),
+            "exact": (C("__code") % 2) == 1,
             "related": C("__v") > 0,
             "mismatch": both & (C("__v") == 0) & (C("p_conf") >= 65) & (C("j_conf") >= 55),
         }
-    ).drop("__best", "__v")
+    ).drop("__code", "__v")
 
 
 def skill_fit(pairs: DataFrame) -> DataFrame:
@@ -167,9 +153,9 @@ def evidence_band(confidence: Column) -> Column:
     return F.when(confidence >= 85, "高可信").when(confidence >= 68, "中高可信").when(confidence >= 48, "中等可信").otherwise("证据偏弱")
 
 
-def score_pairs(pairs: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+def score_pairs(pairs: DataFrame) -> DataFrame:
     """All parts, the base score and the final score of every pair."""
-    return score_final(score_base(place_eligibility(career_fit(skill_fit(domain_fit(pairs, taxonomy))))))
+    return score_final(score_base(place_eligibility(career_fit(skill_fit(domain_fit(pairs))))))
 
 
 def explain(pairs: DataFrame, words: tuple[str, ...], limit: int = 9) -> DataFrame:
