@@ -42,19 +42,22 @@ def graduation_year(c: Column) -> Column:
 
 
 def infer_degree(c: Column) -> Column:
-    low = norm(c)
-    return (
-        F.when(low.contains("博士") | low.contains("phd"), "博士")
-        .when(low.contains("硕士"), "硕士").when(low.contains("研究生"), "研究生").when(low.contains("master"), "硕士")
-        .when(low.contains("本科"), "本科").when(low.contains("学士"), "学士").when(low.contains("bachelor"), "本科")
-        .when(low.contains("大专"), "大专").when(low.contains("专科"), "专科")
-    )
+    def read(low: Column) -> Column:
+        return (
+            F.when(low.contains("博士") | low.contains("phd"), "博士")
+            .when(low.contains("硕士"), "硕士").when(low.contains("研究生"), "研究生").when(low.contains("master"), "硕士")
+            .when(low.contains("本科"), "本科").when(low.contains("学士"), "学士").when(low.contains("bachelor"), "本科")
+            .when(low.contains("大专"), "大专").when(low.contains("专科"), "专科")
+        )
+
+    return let(norm(c), read)
 
 
 def degree_rank(c: Column) -> Column:
-    low = norm(c)
-    hits = [F.when(low.contains(word), rank).otherwise(0) for word, rank in vocab.DEGREES]
-    return F.coalesce(F.greatest(*hits), F.lit(0))
+    def read(low: Column) -> Column:
+        return F.greatest(*[F.when(low.contains(word), rank).otherwise(0) for word, rank in vocab.DEGREES])
+
+    return F.coalesce(let(norm(c), read), F.lit(0))
 
 
 def campaign_batch(title: Column) -> Column:

@@ -130,6 +130,7 @@ def _number(base: DataFrame, words: list[str], taxonomy: Taxonomy) -> DataFrame:
             F.coalesce(F.get("career", F.lit(0))["confidence"], F.lit(0)).alias("p_conf"),
             F.array_distinct(F.flatten(F.transform(top, lambda r: F.get(F.lit(reach), r["d"])))).alias("p_reach"),
             F.transform(F.slice("career", 1, 5), lambda r: F.struct(r["d"].alias("d"), r["confidence"].alias("c"))).alias("p_dirs"),
+            F.array_union("sk_all", "kw").alias("p_words"),
             signals.degree_rank(C("degree")).alias("p_degree"), C("degree").alias("p_degree_name"), C("graduation_year").alias("p_year"),
             "target_locations", "target_directions", *arrays, "sk_total", "v9_total", "skills",
         ),

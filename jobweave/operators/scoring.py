@@ -35,17 +35,22 @@ def domain_fit(pairs: DataFrame) -> DataFrame:
 
 
 def skill_fit(pairs: DataFrame) -> DataFrame:
-    """Adds skill_points (0..24) and skill_hits."""
+    """Adds skill_points (0..24) and skill_hits.
+
+    The posting's long word list is met once; everything else is counted on
+    the few words in common.
+    """
+    found = pairs.withColumn("__all", F.array_intersect("p_words", "all_ids")).withColumn("__in_title", F.array_intersect("__all", "title_ids"))
     hit, count = F.lit(0), F.lit(0)
     for w in (35, 170, 125, 100):
-        title, anywhere = overlap(f"sk_{w}", "title_ids"), overlap(f"sk_{w}", "all_ids")
+        title, anywhere = overlap(f"sk_{w}", "__in_title"), overlap(f"sk_{w}", "__all")
         hit = hit + title * (w * 65) + anywhere * (w * 100)
         count = count + anywhere
-    words = overlap("kw", "all_ids")
-    out = pairs.withColumns({"__hit": hit + words * 2800, "skill_hits": count + words})
+    words = overlap("kw", "__all")
+    out = found.withColumns({"__hit": hit + words * 2800, "skill_hits": count + words})
     denominator = F.greatest(F.lit(5.0), F.least(F.lit(18.0), C("sk_total") / 100))
     coverage = F.least(F.lit(1.0), C("__hit") / 10000 / denominator)
-    return out.withColumn("skill_points", F.least(F.lit(24.0), 24 * F.pow(coverage, F.lit(0.88)))).drop("__hit")
+    return out.withColumn("skill_points", F.least(F.lit(24.0), 24 * F.pow(coverage, F.lit(0.88)))).drop("__hit", "__all", "__in_title")
 
 
 def career_fit(pairs: DataFrame) -> DataFrame:
