@@ -308,7 +308,7 @@ PROVENANCE_TEXTS = ("source_label", "source", "source_url", "apply_url", "notice
 
 @posting_check(
     "source_tier_score",
-    f"coalesce(greatest(1, least(7, source_tier)), {tier_sql('source', 'source_label')})::bigint as tier, "
+    f"case when source_tier is not null then greatest(1, least(7, source_tier)) else {tier_sql('source', 'source_label')} end::bigint as tier, "
     f"{score_sql('source_tier', *PROVENANCE_TEXTS)}::bigint as score",
 )
 def source_tier_score(spark, sf):

@@ -73,7 +73,8 @@ def arr(names: list[str]) -> str:
 
 
 def age(x: str) -> str:
-    return f"coalesce(greatest(0, date_diff('day', try_cast({x} as date), date '{fixtures.AS_OF}')), 999)"
+    day = f"try_cast({x} as date)"
+    return f"(case when {day} is null then 999 else greatest(0, date_diff('day', {day}, date '{fixtures.AS_OF}')) end)"
 
 
 def half_up(x: str) -> str:

@@ -26,7 +26,8 @@ def parse_date(c: Column) -> Column:
 def age_days(day: Column, as_of: str) -> Column:
     """Whole days before ``as_of``; the future is 0, unknown is 999."""
     days = F.datediff(F.lit(as_of).cast("date"), day)
-    return F.coalesce(F.greatest(F.lit(0), days), F.lit(UNKNOWN_AGE))
+    # greatest() passes over nulls, so an unknown day is told apart first.
+    return F.when(days.isNotNull(), F.greatest(F.lit(0), days)).otherwise(UNKNOWN_AGE)
 
 
 def freshness(age: Column) -> Column:

@@ -55,7 +55,8 @@ def source_tier(source: Column, label: Column, existing: Column | None = None) -
     )
     if existing is None:
         return derived
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(7), existing.cast("int"))), derived)
+    clamped = F.greatest(F.lit(1), F.least(F.lit(7), existing.cast("int")))
+    return F.when(existing.isNotNull(), clamped).otherwise(derived)
 
 
 # --- fixed values: what labels and links say about a source, best first --------
