@@ -12,9 +12,11 @@ from jobweave import checks, session
 # counterparts of the two published soft limits (catalogue load, exact search).
 HEADLINE = [
     "dedupe_by_id", "merge_catalog", "dedupe_any_key", "dedupe_best_quality", "upsert_replace", "rank_domestic", "classify",
-    "section_profile", "keywords", "extract_links", "stage_transitions", "stream_source_health", "prerank", "recommend",
-    "decode_compact", "search_literal",
+    "section_profile", "keywords", "extract_links", "stage_transitions", "stream_source_health", "decode_compact", "search_literal",
 ]
+# "recommend" scores every profile against every related posting (tens of
+# millions of pairs at sf0.1) and takes minutes; run it on its own with
+# BENCH_QUERIES=recommend.
 
 
 def main() -> None:
