@@ -76,17 +76,6 @@ class Taxonomy:
         return out[:limit] if limit else out
 
     # -- the same facts as literal columns ---------------------------------
-    def edge_codes(self) -> Column:
-        """Codes a*10000+b of every equal or related pair of domain numbers."""
-        n = len(self.domains)
-        codes = [
-            a * 10_000 + b
-            for a in range(n)
-            for b in range(n)
-            if self.related(self.domains[a].id, self.domains[b].id)
-        ]
-        return F.lit(codes).cast("array<int>")
-
     def ids(self) -> Column:
         return F.lit([d.id for d in self.domains])
 
