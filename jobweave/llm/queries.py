@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, packing
-from .common import table
+from . import langid, minhash, packing, quality_model, toxicity
+from .common import fold, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,29 @@ def cores(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
+@query()
+def op4_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)))
+    model = langid.fit(docs.where(~F.col("held_out")), langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model, min_tasks=cores(spark)).drop("text")
+
+
+@query()
+def op5_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)))
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold(labels.doc_id, 4) != 2))
+    return toxicity.predict(docs.select("doc_id", "held_out", "text"), model, min_tasks=cores(spark)).drop("text")
+
+
+@query()
+def op7_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)))
+    labels = table(spark, sf_dir, "labels")
+    model = quality_model.fit(docs, labels.where(fold(labels.doc_id, 5) != 0))
+    return quality_model.predict(docs.select("doc_id", "held_out", "text"), model, min_tasks=cores(spark)).drop("text")
+
+
 OP8_SQL = r"""
 with recursive
 words as (
