@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, minhash, packing, quality_model, toxicity
+from . import langid, minhash, mixing, packing, quality_model, quality_rules, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -26,6 +26,11 @@ def cores(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
+@query(quality_rules.oracle_sql())
+def op2_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)))
@@ -41,6 +46,12 @@ def op5_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs.select("doc_id", "held_out", "text"), model, min_tasks=cores(spark)).drop("text")
 
 
+@query(mixing.oracle_sql())
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return taken.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "tokens", "epoch", "block", "block_rank")
+
+
 @query()
 def op7_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)))
@@ -52,10 +63,10 @@ def op7_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 with recursive
 words as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents),
 sets as (
-  select doc_id, case when len(w) >= 2 then list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) else w end as s from words),
+  select doc_id, case when len(w) >= 2 then list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) else w end as s from words),
 shingle as (select doc_id, unnest(s) as g, len(s) as n from sets),
 -- linked sets differ in at most a fifth of their union, so they share one of the rarest shingles kept here
 ranked as (
