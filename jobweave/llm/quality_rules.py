@@ -27,13 +27,14 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """``low <= numerator / denominator <= high``; a bound of None is open, and so is a denominator of 0."""
+    """``low <= (numerator + plus) / denominator <= high``; a bound of None is open, and so is a denominator of 0."""
 
     name: str
     numerator: str
     denominator: str
     low: float | None = None
     high: float | None = None
+    plus: int = 0
 
 
 #: The production table.
@@ -41,7 +42,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 1.5, 25.0),
     Rule("symbol_ratio", "n_symbols", "n_words", None, 0.2),
     Rule("bang_ratio", "n_bangs", "n_words", None, 0.5),
-    Rule("stop_word_ratio", "n_stop_words", "n_words", 0.005, None),
+    Rule("stop_word_ratio", "n_stop_words", "n_words", 0.01, None, plus=1),  # short texts may have none
     Rule("duplicate_line_ratio", "n_dup_lines", "n_lines", None, 0.5),
     Rule("words_per_line", "n_words", "n_lines", 1.0, None),
 )
@@ -90,7 +91,7 @@ def passes(rules: tuple[Rule, ...] = RULES) -> Column:
     """The table as one condition on the measures."""
     verdict = F.lit(True)
     for r in rules:
-        ratio = F.col(r.numerator) / F.nullif(F.col(r.denominator), F.lit(0))
+        ratio = (F.col(r.numerator) + r.plus) / F.nullif(F.col(r.denominator), F.lit(0))
         for bound, ok in ((r.low, ratio >= F.lit(r.low)), (r.high, ratio <= F.lit(r.high))):
             if bound is not None:
                 verdict = verdict & F.coalesce(ok, F.lit(True))
@@ -115,7 +116,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     """The same over the table ``documents`` in DuckDB's SQL."""
     stop = ", ".join(f"'{w}'" for w in sorted({w for words in STOP_WORDS for w in words.split()}))
-    tests = [f"coalesce({r.numerator} / nullif({r.denominator}, 0) {sign} {bound}, true)" for r in rules for sign, bound in ((">=", r.low), ("<=", r.high)) if bound is not None]
+    tests = [f"coalesce(({r.numerator} + {r.plus}) / nullif({r.denominator}, 0) {sign} {bound}, true)" for r in rules for sign, bound in ((">=", r.low), ("<=", r.high)) if bound is not None]
     return rf"""
 with texts as (select doc_id, coalesce(text, '') as t from documents),
 split as (

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, minhash, mixing, packing, quality_model, quality_rules, toxicity
-from .common import fold, table
+from . import langid, minhash, mixing, packing, quality_model, quality_rules, toxicity, warc
+from .common import fold, scratch_path, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,22 @@ def cores(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
+OP1_SQL = """
+with rows as (select page_id, coalesce(html, '') as h from pages),
+told as (select page_id, octet_length(encode(h))::bigint as payload_bytes, sha1(h) as payload_digest from rows),
+held as (select payload_digest, payload_bytes, max(page_id) as holder from told where payload_bytes >= 1000 group by 1, 2 having count(*) > 1)
+select page_id, payload_bytes, payload_digest, case when page_id <> holder then 'revisit' else 'response' end as record_type,
+  case when page_id <> holder then holder end as refers_to
+from told left join held using (payload_digest, payload_bytes)
+"""
+
+
+@query(OP1_SQL)
+def op1_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "archive"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query(quality_rules.oracle_sql())
 def op2_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
