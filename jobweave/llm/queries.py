@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, minhash, mixing, packing, quality_model, quality_rules, toxicity, warc
+from . import hnsw, langid, minhash, mixing, packing, quality_model, quality_rules, toxicity, warc
 from .common import fold, scratch_path, table
 
 QUERIES: dict = {}
@@ -47,6 +47,27 @@ def op2_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = """
+with recursive
+fine as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from fine a join fine b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(x, y) as (
+  select vec_id, vec_id from embeddings
+  union
+  select r.x, l.y from reach r join links l on r.y = l.x),
+part as (select x as vec_id, min(y) as component_id from reach group by x)
+select vec_id, (select count(*) from links where x = vec_id) as n_links, component_id, vec_id = component_id as kept from part
+"""
+
+
+@query(OP3_SQL)
+def op3_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op4_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)))
