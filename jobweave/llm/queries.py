@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hnsw, langid, minhash, mixing, packing, quality_model, quality_rules, toxicity, warc
+from . import hnsw, html_main, langid, minhash, mixing, packing, quality_model, quality_rules, toxicity, warc
 from .common import fold, scratch_path, table
 
 QUERIES: dict = {}
@@ -135,3 +135,8 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), min_tasks=cores(spark))
+
+
+@query()
+def op10_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"), min_tasks=cores(spark))
