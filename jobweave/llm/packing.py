@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -25,7 +26,7 @@ from .common import parallel, stage
 CAPACITY = 4096
 END_ID = 1
 #: Words whose token ids a worker keeps; beyond it the memory is emptied, results stay the same.
-WORD_CACHE = 300_000
+WORD_CACHE = 600_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -41,6 +42,73 @@ PLAN = T.StructType([
 
 # --- tokens -----------------------------------------------------------------
 
+class WordIds(dict):
+    """White-space words to the bytes of their token ids (little-endian unsigned 32-bit).
+
+    Tokens of this kind of vocabulary never span white space, and a run of
+    letters and the marks after it are cut apart; so a word made of letters and
+    trailing marks has the ids of its letters, then those of its marks. Letter
+    runs are encoded many at a time: the last token of each carries the word
+    end, which tells where the next one begins.
+    """
+
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def __init__(self, path: str):
+        import os
+
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        super().__init__()
+        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _add_letters(self, words: list[str]) -> None:
+        for at in range(0, len(words), 2000):
+            some = words[at:at + 2000]
+            ids = np.array(self.encode([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):
+                data = ids.tobytes()
+                self.update(zip(some, (data[4 * i:4 * j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist()))))
+            else:  # a vocabulary without word ends
+                self._add_whole(some)
+
+    def _add_whole(self, words: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            some = words[at:at + 4096]
+            self.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.encode(some, add_special_tokens=False))))
+
+    def learn(self, words: set[str]) -> None:
+        """Make sure that all of ``words`` are known."""
+        if len(self) > WORD_CACHE:
+            self.clear()
+        letters, whole, split = set(), set(), []
+        for w in words:
+            if w in self:
+                continue
+            stem = w.rstrip(self.MARKS)
+            if stem.isalpha():
+                small = stem.lower() if stem.isascii() else stem  # the tokenizer folds ASCII the same way
+                split.append((w, small, w[len(stem):]))
+                letters.add(small)
+                whole.add(w[len(stem):])
+            else:
+                whole.add(w)
+        whole.discard("")
+        self[""] = b""
+        self._add_letters([w for w in letters if w not in self])
+        self._add_whole([w for w in whole if w not in self])
+        for w, stem, marks in split:
+            self[w] = self[stem] + self[marks]
+
+
+_WORDS: dict[str, WordIds] = {}  # of this Python worker, by tokenizer file
+
+
 def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, min_tasks: int = 1) -> DataFrame:
     """One row per piece, with its place among the pieces of its length in its task.
 
@@ -49,32 +117,22 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
     The result is written to the shared folder once, so ranks never change.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         import re
-        from array import array
 
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Tokenizer.from_file(tokenizer_path)
-        words = re.compile("[^ \t\n\r\f\v]+")  # tokens never span white space
-        known: dict[str, bytes] = {}
+        if tokenizer_path not in _WORDS:
+            _WORDS[tokenizer_path] = WordIds(tokenizer_path)
+        known = _WORDS[tokenizer_path]
+        words = re.compile("[^ \t\n\r\f\v]+")
         ranks: Counter = Counter()
         part = TaskContext.get().partitionId()
-        closing = array("I", [end_id]).tobytes()
+        closing = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                some = [words.findall(t) if t else [] for t in texts[at:at + 256]]
-                if len(known) > WORD_CACHE:
-                    known.clear()
-                new = list({w for ws in some for w in ws if w not in known})
-                for i in range(0, len(new), 4096):
-                    chunk = new[i:i + 4096]
-                    for w, e in zip(chunk, encode.encode_batch_fast(chunk, add_special_tokens=False)):
-                        known[w] = array("I", e.ids).tobytes()
+            for at in range(0, batch.num_rows, 256):
+                some = [words.findall(t) if t else [] for t in batch.column(1)[at:at + 256].to_pylist()]
+                known.learn({w for ws in some for w in ws})
                 for doc_id, ws in zip(batch.column(0)[at:at + 256].to_pylist(), some):
                     ids = b"".join([*map(known.__getitem__, ws), closing])
                     for k, start in enumerate(range(0, len(ids), 4 * capacity)):
