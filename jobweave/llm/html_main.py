@@ -142,7 +142,7 @@ def observations(page: str) -> Iterator[tuple[str, str, int]]:
                 waiting.append((f"{path}/{child.label}", child))
     for path, style in styles.items():
         yield path, "page", 0
-        yield path, "style", digest(">".join(style))
+        yield path, "style", digest(">".join(style)) if style else 0
         for value in contents[path]:
             yield path, "content", value
 
@@ -175,7 +175,7 @@ def style_trees(pages: DataFrame, gamma: float = 0.9, min_tasks: int = 1) -> Dat
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
     spread = F.col("n") * F.ln("n")
     own = counts.groupBy("host", "path").agg(
-        of("page", F.col("n")).alias("pages"), of("style", F.lit(1)).alias("styles"), of("style", spread).alias("style_spread"),
+        of("page", F.col("n")).alias("pages"), of("style", F.lit(1)).alias("styles"), of("style", (F.col("value") != 0).cast("int")).alias("boxed"), of("style", spread).alias("style_spread"),
         of("content", F.col("n")).alias("texts"), of("content", spread).alias("text_spread"))
     log_pages = F.nullif(F.ln("pages"), F.lit(0.0))
     own = stage(own.withColumns({
@@ -187,7 +187,7 @@ def style_trees(pages: DataFrame, gamma: float = 0.9, min_tasks: int = 1) -> Dat
     above = own.where("texts > 0").select("host", "texts", "repeated", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("path"))
     branch = above.groupBy("host", "path").agg((1 - F.sum("repeated") / F.sum("texts")).alias("content"))
     tree = own.join(branch, ["host", "path"], "left").withColumn("content", F.coalesce("content", F.lit(0.0)))
-    weight = F.pow(F.lit(gamma), F.col("styles"))
+    weight = F.when(F.col("boxed") == 0, 1.0).otherwise(F.pow(F.lit(gamma), F.col("styles")))  # only text: content alone
     importance = F.when(F.col("pages") <= 1, 1.0).otherwise((1 - weight) * F.col("presentation") + weight * F.col("content"))
     return tree.select("host", "path", "pages", "presentation", "content", importance.alias("importance"))
 
