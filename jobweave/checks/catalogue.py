@@ -17,7 +17,7 @@ AS_OF = fixtures.AS_OF
 FRESH = """select ord + 10000000000 as ord, id, company, role || case when position_id <> '' then ' II' else '' end as role,
   case when length(jd) % 2 = 0 then '' else department end as department, industry, location, batch, '2028届' as graduation,
   education, company_type, salary_low, salary_high, source, source_label, source_url, source_tier, apply_url, notice_url,
-  position_id, substr(jd, 1, 100) as jd, updated_at from {postings}"""
+  position_id, jd || ' (seen again)' as jd, updated_at from {postings}"""
 
 
 def fresh(spark, sf):
@@ -83,9 +83,9 @@ def merge_catalog(spark, sf):
 @CHECKS.add(
     "compact_catalog",
     S.with_postings(
-        f"""select key, ord, {S.blank(S.compact('jd_clean', 1400))} as jd,
-        (select string_agg(label, ';' order by ord) from (select label, min(ord) as ord from keyed k where k.key = f.key group by label order by 2 limit 6)) as source_labels
-        from filled f order by coalesce(updated_at, '') desc, coalesce({S.clean('company')}, '') desc, coalesce({S.clean('role')}, '') desc, ord limit 60000""",
+        f"""select key, ord, {S.blank(S.clean('jd_clean'))} as jd,
+        (select string_agg(label, ';' order by ord) from (select label, min(ord) as ord from keyed k where k.key = f.key group by label)) as source_labels
+        from filled f order by coalesce(updated_at, '') desc, coalesce({S.clean('company')}, '') desc, coalesce({S.clean('role')}, '') desc, ord""",
         **MERGED_CTES,
     ),
 )
@@ -262,7 +262,7 @@ DOMESTIC_SCORE = f"""({priority_sql(S.clean('source'))} + case when contains(loc
     "rank_domestic",
     S.with_postings(
         f"select ord, score from (select *, {DOMESTIC_SCORE} as score from postings where {domestic_sql('location', 'source')}) "
-        f"order by score desc, updated_at, {S.clean('company')}, ord limit 30000"
+        f"order by score desc, updated_at, {S.clean('company')}, ord"
     ),
 )
 def rank_domestic(spark, sf):
@@ -272,7 +272,7 @@ def rank_domestic(spark, sf):
 GLOBAL_SCORE = f"({priority_sql('source')} + case when {S.rx(S.joined('role', 'batch', 'graduation'), vocab.CAMPUS_FEED)} then 20 else 0 end)::bigint"
 
 
-@CHECKS.add("rank_global", S.with_postings(f"select ord, {GLOBAL_SCORE} as score from postings order by score desc, updated_at, ord limit 60000"))
+@CHECKS.add("rank_global", S.with_postings(f"select ord, {GLOBAL_SCORE} as score from postings order by score desc, updated_at, ord"))
 def rank_global(spark, sf):
     return ordered(catalogue.rank_global(fixtures.postings(spark, sf)), big(C("score")).alias("score"))
 

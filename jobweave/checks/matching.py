@@ -194,7 +194,7 @@ def explain_hits(spark, sf):
 
 
 PRE_CTES = {
-    "hay": f"select ord, updated_at, source_tier, coalesce({S.norm(S.joined('role', 'department', 'substr(jd, 1, 360)'))}, '') as hay, {S.rx(S.joined('role', 'batch', 'graduation'), vocab.QUICK_CAMPUS)} as campus, {S.age('updated_at')} as age from postings",
+    "hay": f"select ord, updated_at, source_tier, coalesce({S.norm(S.joined('role', 'department', 'jd'))}, '') as hay, {S.rx(S.joined('role', 'batch', 'graduation'), vocab.QUICK_CAMPUS)} as campus, {S.age('updated_at')} as age from postings",
     "strong22": "select * from (values "
     + ", ".join(f"({i}, {S.q(w)})" for i in range(len(TAX.domains)) for w in dict.fromkeys(features.norm_py(t) for t in TAX.strong_terms(i, 22)))
     + ") t(d, w)",
@@ -294,7 +294,7 @@ def search_weighted(spark, sf):
         """select f.ord, boost, coalesce(case when r.ord is not null then coalesce(n.score, 0) end, -1.0::double) as scored from found f left join ranked r on r.ord = f.ord
           left join (select ord, score from final where profile_id = (select profile_id from person order by p_conf desc, profile_id limit 1)) n on n.ord = r.ord where n.ord is not null or r.ord is null""",
         found=weighted_sql(SEARCH_QUERY),
-        ranked="select ord from found order by boost desc, updated_at desc, ord limit 1200",
+        ranked="select ord from found order by boost desc, updated_at desc, ord",
     ),
 )
 def search_scored(spark, sf):
@@ -322,7 +322,7 @@ def fresh_filter(spark, sf):
 def order_results(spark, sf):
     b, p = pairs(spark, sf)
     scored = scoring.score_pairs(p)
-    shown = [search.order_results(scored.withColumn("ord", F.struct("ord", "profile_id")), m).select(F.lit(m).alias("mode"), "profile_id", C("ord.ord").alias("ord")) for m in ("match", "fresh")]
+    shown = [search.order_results(scored.withColumn("ord", F.struct("ord", "profile_id")), m, 60).select(F.lit(m).alias("mode"), "profile_id", C("ord.ord").alias("ord")) for m in ("match", "fresh")]
     return shown[0].unionByName(shown[1])
 
 

@@ -48,7 +48,11 @@ def stable_id(*parts: Column) -> Column:
     return F.substring(F.sha1(raw), 1, 18)
 
 
-def compact_text(c: Column, limit: int) -> Column:
+def compact_text(c: Column, limit: int | None = None) -> Column:
+    """Text in single spaces; whole, or its first ``limit`` characters and an ellipsis."""
+    if limit is None:
+        return clean(c)
+
     def cut(text: Column) -> Column:
         short = F.concat(F.rtrim(F.substring(text, 1, limit)), F.lit("…"))
         return F.when(F.length(text) > limit, short).otherwise(text)

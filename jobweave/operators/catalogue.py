@@ -68,17 +68,20 @@ def merge_catalog(df: DataFrame, fields: Sequence[str] = vocab.MERGE_FIELDS) ->
     )
 
 
-def compact_catalog(df: DataFrame, jd_chars: int = 1400, cap: int = 60_000, sources: int = 6) -> DataFrame:
-    """The merged catalogue, trimmed, newest first, at most ``cap`` rows."""
+def first_rows(ordered: DataFrame, cap: int | None) -> DataFrame:
+    """All rows in order, or the first ``cap`` of them."""
+    return ordered if cap is None else ordered.limit(cap)
+
+
+def compact_catalog(df: DataFrame, jd_chars: int | None = None, cap: int | None = None, sources: int | None = None) -> DataFrame:
+    """The merged catalogue, newest first.
+
+    Whole by default; ``jd_chars`` trims descriptions, ``cap`` keeps that many
+    rows and ``sources`` that many labels and links of each.
+    """
     order = [F.coalesce(clean(C(c)), F.lit("")).desc() for c in ("updated_at", "company", "role")]
-    merged = merge_catalog(df).orderBy(*order, "ord").limit(cap)
-    return merged.withColumns(
-        {
-            "jd": compact_text(C("jd"), jd_chars),
-            "source_labels": F.slice("source_labels", 1, sources),
-            "source_urls": F.slice("source_urls", 1, sources),
-        }
-    )
+    merged = first_rows(merge_catalog(df).orderBy(*order, "ord"), cap).withColumn("jd", compact_text(C("jd"), jd_chars))
+    return merged.withColumns({c: F.slice(c, 1, sources) for c in ("source_labels", "source_urls")}) if sources is not None else merged
 
 
 def dedupe_best_quality(df: DataFrame) -> DataFrame:
@@ -192,20 +195,20 @@ def domestic_score() -> Column:
     )
 
 
-def rank_domestic(df: DataFrame, cap: int = 30_000, newest_first: bool = False) -> DataFrame:
+def rank_domestic(df: DataFrame, cap: int | None = None, newest_first: bool = False) -> DataFrame:
     """Domestic rows by score; equal scores are listed oldest first by default."""
     rows = df.filter(provenance.is_domestic(C("location"), C("source"))).withColumn("score", domestic_score())
     updated = F.coalesce(clean(C("updated_at")), F.lit(""))
     by_date = updated.desc() if newest_first else updated.asc()
-    return rows.orderBy(C("score").desc(), by_date, F.coalesce(clean(C("company")), F.lit("")), C("ord")).limit(cap)
+    return first_rows(rows.orderBy(C("score").desc(), by_date, F.coalesce(clean(C("company")), F.lit("")), C("ord")), cap)
 
 
-def rank_global(df: DataFrame, cap: int = 60_000, newest_first: bool = False) -> DataFrame:
+def rank_global(df: DataFrame, cap: int | None = None, newest_first: bool = False) -> DataFrame:
     blob = joined(clean(C("role")), clean(C("batch")), clean(C("graduation")))
     score = provenance.source_priority(clean(C("source"))) + F.when(has(blob, vocab.CAMPUS_FEED), 20).otherwise(0)
     updated = F.coalesce(clean(C("updated_at")), F.lit(""))
     by_date = updated.desc() if newest_first else updated.asc()
-    return df.withColumn("score", score).orderBy(C("score").desc(), by_date, C("ord")).limit(cap)
+    return first_rows(df.withColumn("score", score).orderBy(C("score").desc(), by_date, C("ord")), cap)
 
 
 def signal_filter(df: DataFrame, cutoff: str, rule: str) -> DataFrame:

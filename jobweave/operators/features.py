@@ -219,6 +219,11 @@ def job_features(jobs: DataFrame, batch: Batch, as_of: str) -> DataFrame:
     ).withColumn("fresh", dates.freshness(C("age")))
 
 
+def all_pairs(features: DataFrame, batch: Batch) -> DataFrame:
+    """Every posting with every profile of the batch: a stated set of profiles against all rows."""
+    return features.join(F.broadcast(batch.profiles))
+
+
 def candidate_pairs(features: DataFrame, batch: Batch) -> DataFrame:
     """Pairs whose top-four domains are equal or related, each once.
 

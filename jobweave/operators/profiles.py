@@ -20,7 +20,6 @@ from .terms import code_count, code_id, find_each, find_terms, hit_ids
 
 C = F.col
 UNIT = 10_000
-TEXT_LIMIT = 180_000
 
 
 def trim_all(c: Column) -> Column:
@@ -424,7 +423,7 @@ def keywords(df: DataFrame, key: str, text: Column, n: int = 60) -> DataFrame:
 def clean_resume(text: Column) -> Column:
     """Text as stored: blanks squeezed, blank lines at most one, capped."""
     c = F.regexp_replace(F.replace(text, F.lit("\x00"), F.lit(" ")), "[ \t]+", " ")
-    return F.substring(trim_all(F.regexp_replace(c, "\n{3,}", "\n\n")), 1, TEXT_LIMIT)
+    return trim_all(F.regexp_replace(c, "\n{3,}", "\n\n"))
 
 
 def display_name(text: Column, file_name: Column) -> Column:

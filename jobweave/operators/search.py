@@ -110,9 +110,10 @@ def updated() -> Column:
     return F.coalesce(clean(C("updated_at")), F.lit(""))
 
 
-def order_results(rows: DataFrame, mode: str, n: int | None = 60, score: str = "score", fit: str = "fit_core") -> DataFrame:
-    """``match``: score, fit; ``fresh``: newest, score; ``company``: name, score."""
+def order_results(rows: DataFrame, mode: str, n: int | None = None, score: str = "score", fit: str = "fit_core") -> DataFrame:
+    """``match``: score, fit; ``fresh``: newest, score; ``company``: name, score; ``boost``: boost, score, newest."""
     by = {
+        "boost": [C("boost").desc(), C(score).desc_nulls_last(), updated().desc()],
         "match": [C(score).desc_nulls_last(), C(fit).desc_nulls_last()],
         "fresh": [updated().desc(), C(score).desc_nulls_last()],
         "company": [F.collate(F.coalesce(C("company"), F.lit("")), "zh").asc(), C(score).desc_nulls_last()],
@@ -144,14 +145,15 @@ def market_summary(scored: DataFrame, catalogue: DataFrame) -> DataFrame:
     return fits.select("*", share.scalar().alias("official_pct"))
 
 
-def facets(jobs: DataFrame, cap: int = 120) -> DataFrame:
-    """Distinct places, types and batches in Chinese collation, at most ``cap`` each."""
+def facets(jobs: DataFrame, cap: int | None = None) -> DataFrame:
+    """Distinct places, types and batches in Chinese collation; with ``cap``, the first so many of each."""
     places = F.filter(F.split(F.coalesce("location", F.lit("")), "[ ,，、/]+"), lambda x: F.length(x).between(2, 10))
     kinds = {"location": places, "company_type": F.array(nonblank(C("company_type"))), "batch": F.array(nonblank(C("batch")))}
     total = None
     for kind, values in kinds.items():
         one = jobs.select(F.explode(values).alias("value")).filter("value is not null").distinct()
-        one = one.orderBy(F.collate("value", "zh"), "value").limit(cap).withColumn("kind", F.lit(kind))
+        one = one.orderBy(F.collate("value", "zh"), "value")
+        one = (one if cap is None else one.limit(cap)).withColumn("kind", F.lit(kind))
         total = one if total is None else total.unionByName(one)
     return total.select("kind", "value")
 

@@ -88,11 +88,12 @@ def from_frames(domains: DataFrame, terms: DataFrame, edges: DataFrame | None =
 
     Sizes are checked before anything reaches the driver.
     """
-    if terms.limit(MAX_ENTRIES + 1).count() > MAX_ENTRIES:
-        raise ValueError(f"term table exceeds {MAX_ENTRIES} rows; split the taxonomy")
-    rows = [r.asDict() for r in terms.orderBy("domain_id", "ord").limit(MAX_ENTRIES).collect()]
-    heads = domains.orderBy("ord").limit(10_000).collect()
-    pairs = edges.limit(MAX_ENTRIES).collect() if edges is not None else []
+    for name, part in (("domain", domains), ("term", terms), ("edge", edges)):
+        if part is not None and part.limit(MAX_ENTRIES + 1).count() > MAX_ENTRIES:
+            raise ValueError(f"{name} table exceeds {MAX_ENTRIES} rows; split the taxonomy")
+    rows = [r.asDict() for r in terms.orderBy("domain_id", "ord").collect()]
+    heads = domains.orderBy("ord").collect()
+    pairs = edges.collect() if edges is not None else []
     return Taxonomy(
         tuple(
             Domain(
