@@ -178,13 +178,13 @@ HITS = """list_concat(
 @CHECKS.add(
     "explain_hits",
     with_people(
-        """select profile_id, ord, score, coalesce((select string_agg(w, ';' order by place) from (select w, min(place) as place from chosen c where c.profile_id = f.profile_id and c.ord = f.ord group by w order by place limit 9)), '') as hits
-        from shown f""",
+        "select profile_id, ord, score, coalesce(hits, '') as hits from shown left join joined using (profile_id, ord)",
         shown="select profile_id, ord, score from final where score >= 80",
         hit_words="""select profile_id, ord, w, n, in_title, 0 as kind from shown join skill using (profile_id) join word_hit using (w, ord)
           union all select profile_id, ord, w, n, in_title, 1 from shown join kw using (profile_id) join word_hit using (w, ord)""",
         placed="select *, case when kind = 1 then 2 when in_title then 0 else 1 end as grp, row_number() over (partition by profile_id, ord, kind, case when kind = 1 then false else in_title end order by n) as r from hit_words",
-        chosen="select profile_id, ord, w, grp * 1000 + r as place from placed where r <= case grp when 1 then 7 else 5 end",
+        chosen="select profile_id, ord, w, min(grp * 1000 + r) as place from placed where r <= case grp when 1 then 7 else 5 end group by profile_id, ord, w",
+        joined="""select profile_id, ord, string_agg(w, ';' order by place) as hits from (select * from chosen qualify row_number() over (partition by profile_id, ord order by place) <= 9) group by profile_id, ord""",
     ),
 )
 def explain_hits(spark, sf):
