@@ -28,7 +28,7 @@ def batch(spark, sf):
 
 def pairs(spark, sf):
     b = batch(spark, sf)
-    return b, features.candidate_pairs(features.job_features(fixtures.postings(spark, sf), b, AS_OF), b)
+    return b, features.all_pairs(features.job_features(fixtures.postings(spark, sf), b, AS_OF), b)
 
 
 GENERIC = ", ".join(map(S.q, vocab.GENERIC_SKILLS))
@@ -60,10 +60,11 @@ PEOPLE_CTES = {
     "word_hit": "select ord, w, contains(title, w) as in_title from posting_text, vocabulary where contains(title, w) or contains(body, w)",
     "pair_grid": """select profile_id, ord, p.i as pi, j.i as ji, p.d = j.d as same, case when p.d = j.d then 300 - 45 * p.i - 40 * j.i else 140 - 22 * p.i - 20 * j.i end as v
       from cv_top p join edges on p.d = a join job_top j on j.d = b where p.i < 4 and j.i < 4""",
-    "pair": "select * from pair_grid qualify row_number() over (partition by profile_id, ord order by v desc, pi, ji) = 1",
+    "best_pair": "select * from pair_grid qualify row_number() over (partition by profile_id, ord order by v desc, pi, ji) = 1",
+    "pair": "select p.profile_id, o.ord, coalesce(same, false) as same, coalesce(v, 0) as v from person p cross join postings o left join best_pair b on b.profile_id = p.profile_id and b.ord = o.ord",
     "wanted": f"""select distinct profile_id, ord from person p, job_top j join names using (d) where j.i < 4 and target_direction <> ''
-      and (contains(lower(name), lower(target_direction)) or contains(lower(target_direction), lower(name)))""",
-    "domain_part": "select profile_id, ord, same as exact, case when w.ord is not null then least(300, v + 20) else v end as d10 from pair left join wanted w using (profile_id, ord)",
+      and p_first >= 0 and (contains(lower(name), lower(target_direction)) or contains(lower(target_direction), lower(name)))""",
+    "domain_part": "select profile_id, ord, same as exact, v, case when w.ord is not null then least(300, v + 20) else v end as d10 from pair left join wanted w using (profile_id, ord)",
     "skill_part": """select profile_id, ord, sum(case when in_title then w100 * 165 else w100 * 100 end) as hit, count(*) as n from skill join word_hit using (w) group by profile_id, ord""",
     "kw_part": "select profile_id, ord, count(*) as n from kw join word_hit using (w) group by profile_id, ord",
     "job_facts": f"""select ord, updated_at, location, company, {S.rx(S.norm(S.joined('role', 'batch', 'graduation', 'jd')), vocab.CAMPUS)} as campus,
@@ -71,8 +72,8 @@ PEOPLE_CTES = {
       {S.rx(S.norm(S.joined('role', 'batch', 'graduation', 'jd')), vocab.SOCIAL)} as social, {S.norm(S.joined('role', 'batch', 'graduation', 'jd'))} as blob,
       regexp_extract_all({S.joined('graduation', 'batch', 'role')}, '20[0-9][0-9]') as years, graduation, {rank_sql('education')} as j_degree,
       {score_sql('source_tier', *PROVENANCE_TEXTS)} as source, {COMPLETE_SQL} as complete, length(trim(jd)) < 70 as sparse, {S.age('updated_at')} as age,
-      coalesce((select confidence from job_top t where t.ord = p.ord and i = 0), 0) as j_conf from postings p""",
-    "parts": """select d.profile_id, d.ord, exact, d10, p_year, p_degree, p_conf, target_location, f.*,
+      coalesce((select confidence from job_top t where t.ord = p.ord and i = 0), 0) as j_conf, exists (select 1 from job_top t where t.ord = p.ord) as j_first from postings p""",
+    "parts": """select d.profile_id, d.ord, exact, d10, p_first >= 0 and j_first and v = 0 and p_conf >= 65 and j_conf >= 55 as mismatch, p_conf >= 75 and j_conf >= 65 as sure_both, p_year, p_degree, p_conf, target_location, f.*,
       coalesce(s.n, 0) + coalesce(k.n, 0) as hits,
       least(24.0::double, 24 * pow(least(1.0::double, (coalesce(hit, 0) + 2800 * coalesce(k.n, 0)) / 10000 / greatest(5.0::double, least(18.0::double, coalesce(total, 0) / 100))), 0.88::double)) as skill_points,
       least(13, case when campus then 8 when intern then 5 when p_year is not null then 1 else 0 end + case when contains(blob, p_year) then 5 else 0 end) as career,
@@ -85,15 +86,15 @@ PEOPLE_CTES = {
       left join skill_part s on s.profile_id = d.profile_id and s.ord = d.ord left join kw_part k on k.profile_id = d.profile_id and k.ord = d.ord""".replace("f.*", "f.* exclude (ord)"),
     "base": f"""select *, elite and skill_points >= 20 and e10 >= 50 and fresh >= 4 and complete >= 2 as perfect from (select *, {FRESH_SQL} as fresh,
       exact and d10 >= 260 and skill_points >= 15 and career >= 8 and source >= 6 and (not need_place or place = 10) as elite from parts)""",
-    "based": f"""select *, greatest(0.0::double, least(bcap::double, {S.one_dp('d10 / 10 + skill_points + career + place + e10 / 10 + source + fresh + complete - (cpen + case when sparse then 2 else 0 end)')})) as base_score
-      from (select *, least(case when d10 < 50 and skill_points < 7 and p_conf >= 55 then 48 else 99 end, case when d10 < 100 and skill_points < 10 and p_conf >= 60 then 62 else 99 end,
+    "based": f"""select *, greatest(0.0::double, least(bcap::double, {S.one_dp('d10 / 10 + skill_points + career + place + e10 / 10 + source + fresh + complete - (cpen + case when mismatch and sure_both then 26 when mismatch then 18 else 0 end + case when sparse then 2 else 0 end)')})) as base_score
+      from (select *, least(case when mismatch and sure_both then 38 when mismatch then 48 else 99 end, case when d10 < 50 and skill_points < 7 and p_conf >= 55 then 48 else 99 end, case when d10 < 100 and skill_points < 10 and p_conf >= 60 then 62 else 99 end,
         case when p_year is not null and not (campus or intern) and cpen > 0 then 70 else 99 end, case when elite then 99 else 94 end, case when perfect then 99 else 98 end) as bcap from base)""",
     "fitted": f"""select *, least(1.0::double, case when need_place then dd * 0.42::double + sqrt(ss) * 0.26::double + cc * 0.14::double + ee * 0.08::double + place / 10 * 0.10::double
         else dd * 0.46::double + sqrt(ss) * 0.28::double + cc * 0.16::double + ee * 0.10::double end) as fit from
       (select *, least(1.0::double, d10 / 10 / 30) as dd, least(1.0::double, {S.one_dp('skill_points')} / 24) as ss, least(1.0::double, career / 13) as cc, least(1.0::double, e10 / 10 / 8) as ee from based)""",
     "final": f"""select *, {S.one_dp('fit * 100')} as fit_core, {S.one_dp('greatest(0.0::double, least(cap::double, 15 + 84 * pow(fit, 0.62::double)))')} as score,
       floor(100 * (source / 7 * 0.35::double + fresh / 5 * 0.25::double + complete / 3 * 0.25::double + j_conf / 100 * 0.15::double) + 0.5)::bigint as sure from
-      (select *, least(case when bcap <= 48 then 48 when bcap <= 62 then 66 when bcap <= 70 then 70 else 99 end, case when need_place and place = 0 then 78 else 99 end, case when unmet then 62 else 99 end,
+      (select *, least(case when mismatch then 42 when bcap <= 48 then 48 when bcap <= 62 then 66 when bcap <= 70 then 70 else 99 end, case when need_place and place = 0 then 78 else 99 end, case when unmet then 62 else 99 end,
         case when p_year is not null and len(years) > 0 and not list_contains(years, p_year) then 68 else 99 end, case when hits = 0 then 84 when hits = 1 then 89 else 99 end,
         case when not exact and d10 < 180 and hits <= 1 then 50 when not exact and d10 < 120 then 62 else 99 end) as cap from fitted)""",
 }
@@ -110,10 +111,10 @@ def both(df, *cols):
     return df.select("profile_id", "ord", *cols)
 
 
-@CHECKS.add("domain_fit", with_people("select profile_id, ord, d10::bigint as d10, exact::bigint as exact from domain_part"))
+@CHECKS.add("domain_fit", with_people("select profile_id, ord, d10::bigint as d10, exact::bigint as exact, mismatch::bigint as mismatch from parts"))
 def domain_fit(spark, sf):
     b, p = pairs(spark, sf)
-    return both(scoring.domain_fit(p), big(C("direction10")).alias("d10"), big(C("exact")).alias("exact"))
+    return both(scoring.domain_fit(p), big(C("direction10")).alias("d10"), big(C("exact")).alias("exact"), big(C("mismatch")).alias("mismatch"))
 
 
 @CHECKS.add("skill_fit", with_people(f"select profile_id, ord, {S.one_dp('skill_points')} as points, hits::bigint as hits from parts"))
@@ -292,7 +293,7 @@ def search_weighted(spark, sf):
     "search_scored",
     with_people(
         """select f.ord, boost, coalesce(case when r.ord is not null then coalesce(n.score, 0) end, -1.0::double) as scored from found f left join ranked r on r.ord = f.ord
-          left join (select ord, score from final where profile_id = (select profile_id from person order by p_conf desc, profile_id limit 1)) n on n.ord = r.ord where n.ord is not null or r.ord is null""",
+          left join (select ord, score from final where profile_id = (select profile_id from person order by p_conf desc, profile_id limit 1)) n on n.ord = r.ord""",
         found=weighted_sql(SEARCH_QUERY),
         ranked="select ord from found order by boost desc, updated_at desc, ord",
     ),
@@ -301,9 +302,6 @@ def search_scored(spark, sf):
     b = batch(spark, sf)
     first = b.profiles.orderBy(C("p_conf").desc(), "profile_id").first()["profile_id"]
     df = plan.search_scored(fixtures.postings(spark, sf), b, first, SEARCH_QUERY, AS_OF)
-    # Rows sharing no domain with the profile are left to the scorer's own test.
-    unrelated = features.candidate_pairs(features.job_features(fixtures.postings(spark, sf), b, AS_OF), b).filter(C("profile_id") == first).select("ord")
-    df = df.join(unrelated.withColumn("near", F.lit(True)), "ord", "left").filter("near or score is null")
     return df.select("ord", big(C("boost")).alias("boost"), F.coalesce("score", F.lit(-1.0)).alias("scored"))
 
 
