@@ -14,6 +14,7 @@ from .. import vocab
 from ..functions import provenance, signals, urls
 from ..functions.dates import parse_date
 from ..functions.text import canonical_company, clean, compact_text, has, joined, nonblank, stable_id
+from ..session import stage
 from . import keys
 from .terms import find_terms, hit_ids
 
@@ -135,7 +136,8 @@ def replace_partition(existing: DataFrame, fresh: DataFrame, ok_sources: DataFra
 
     ``scope`` narrows what is dropped to one sub-window of a source.
     """
-    done = ok_sources.select(keys.low(C("source")).alias("__done")).distinct()
+    # One row a source: written first, so that its true size decides on a broadcast and the catalogue isn't shuffled for it.
+    done = stage(ok_sources.select(keys.low(C("source")).alias("__done")).distinct(), "done")
     hit = keys.low(C("source")) == C("__done")
     kept = existing.join(done, hit & scope if scope is not None else hit, "left_anti")
     present = kept.select(keys.position_identity().alias("__ident"))
@@ -166,6 +168,7 @@ def last_good(fresh: DataFrame, previous: DataFrame, gates: DataFrame) -> DataFr
         )
         .select("source")
     )
+    passing = stage(passing, "passing")  # one row a source, evaluated once
     good = fresh.join(passing, "source", "left_semi").withColumn("preserved_previous", F.lit(False))
     kept = previous.join(passing, "source", "left_anti").withColumn("preserved_previous", F.lit(True))
     return good.unionByName(kept)
