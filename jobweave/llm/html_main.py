@@ -154,7 +154,14 @@ def style_trees(pages: DataFrame, gamma: float = 0.9, min_tasks: int = 1) -> Dat
     to the base m. A text or link found on k of the pages has the entropy
     log_m k; content is 1 minus their mean over the branch. Importance weighs the two,
     presentation the more the more styles there are; with one page it is 1.
+    Copies of a page on its host count once (the one with the smallest
+    page_id), else an article published twice would look like furniture.
     """
+    pages = pages.select("page_id", host_of(F.col("url")).alias("host"), "html").withColumn("print", F.xxhash64("html"))
+    # Only pages that have copies: broadcast by the planner where small, else a join whose hot pages are split.
+    copied = pages.groupBy("host", "print").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pages = pages.join(stage(copied, "copied"), ["host", "print"], "left").where("first is null or page_id = first")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
@@ -170,7 +177,7 @@ def style_trees(pages: DataFrame, gamma: float = 0.9, min_tasks: int = 1) -> Dat
                     yield out()
         yield out()
 
-    read = parallel(pages.select(host_of(F.col("url")).alias("host"), F.col("html")), min_tasks)
+    read = parallel(pages.select("host", "html"), min_tasks)
     counts = read.mapInArrow(run, "host string, path string, kind string, value long, n long").groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
     spread = F.col("n") * F.ln("n")

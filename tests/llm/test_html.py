@@ -31,5 +31,5 @@ def test_repeated_boxes_leave(spark):
 
 def test_copies_of_an_article_stay(spark):
     same = "<body><article><h1>T</h1><div><p>One text</p></div></article></body>"
-    df = spark.createDataFrame([(i, "http://site.example/", same) for i in range(3)] + [(9, "http://x/", "<article><p>Só</article>")], "page_id long, url string, html string")
+    df = spark.createDataFrame([(i, "http://site.example/", same) for i in range(6)] + [(9, "http://x/", "<article><p>Só</article>")], "page_id long, url string, html string")
     assert {r.text for r in html_main.extract(df).collect()} == {"T\nOne text", "Só"}
