@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import parallel
+from .common import parallel, stage
 
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -183,7 +183,12 @@ def fit(docs: DataFrame, pieces: list[str], rows_per_language: int = 400, fit_ch
     ``fit_chars`` characters. Only word counts of that sample reach the driver.
     """
     usable = docs.select(F.col("text"), F.col("lang")).where("lang is not null and text is not null").where(F.length("text") <= fit_chars)
-    keys = usable.select("lang", F.xxhash64("text").alias("key")).distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("place") <= rows_per_language)
+    keyed = usable.select("lang", F.xxhash64("text").alias("key"))
+    # Keys are uniform, so those below a threshold that some four times the wanted number pass hold the
+    # wanted ones; however large a language, no more than these meet in the window.
+    sizes = stage(keyed.groupBy("lang").agg(F.approx_count_distinct("key").alias("texts")), "languages")
+    near = keyed.join(sizes, "lang").where((F.col("key") / 2.0**63 + 1) / 2 * F.col("texts") < 4 * rows_per_language).select("lang", "key").distinct()
+    keys = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("place") <= rows_per_language)
     # at most languages x rows_per_language keys; copies of a text count once
     sample = usable.withColumn("key", F.xxhash64("text")).join(F.broadcast(keys.select("lang", "key")), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"]).select("lang", "text")
 
