@@ -6,8 +6,9 @@ children, its contents the texts and links right in it. An element whose
 styles or contents differ from page to page is important, one that looks and
 reads the same everywhere is not; both are measured as entropies over the
 pages that have it. Branches of low importance leave every page, and so do
-those whose tag, role or class names page furniture; ``article`` and ``main``
-hold what is looked for wherever they exist.
+those whose tag or role is page furniture; ``article`` and ``main`` hold what
+is looked for wherever they exist. A class or id that sounds like furniture
+removes nothing by itself: it only asks more importance of its box.
 """
 
 from __future__ import annotations
@@ -30,10 +31,12 @@ CLOSES_P = BLOCKS - frozenset("td th tr tbody thead tfoot caption body html lege
 #: A start tag ends an open element of its own family, unless one of the holders comes first.
 FAMILIES = (("li", "li", "ul ol menu"), ("dt dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td th", "td th", "tr table"), ("option", "option", "select"), ("tbody thead tfoot", "tbody thead tfoot tr td th", "table"))
 IMPLIED = {tag: (frozenset(ends.split()), frozenset(holders.split())) for tags, ends, holders in FAMILIES for tag in tags.split()}
-#: What never is main text, by tag, by role, and by words of class and id.
+#: What never is main text, by tag and by role; and words of class and id that make a box suspect.
 FURNITURE_TAGS = frozenset("nav footer aside form script style noscript template head title button input select textarea option iframe object embed svg canvas dialog menu noembed noframes xmp".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-FURNITURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar widget widgets related recommended share sharing social cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist respond disqus discussion pagination pager toolbar skip".split())
+FURNITURE_WORDS = frozenset("header ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar widget widgets related recommended share sharing social cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist respond disqus discussion pagination pager toolbar skip".split())
+#: An article within an article and under such a name is a comment on it, as HTML means nested articles.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
 MAIN_TAGS, HOLDERS = frozenset(("article", "main")), frozenset(("html", "body", "article", "main"))
 #: Only boxes are removed for low importance, never a paragraph or heading on its own.
 BOXES = frozenset("div section ul ol dl table figure header details center fieldset".split())
@@ -44,11 +47,12 @@ NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "children", "furniture", "main", "header", "href")
+    __slots__ = ("tag", "label", "children", "furniture", "named", "comments", "main", "header", "href")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.label, self.children, self.href = tag, tag, [], None
         self.furniture, self.main, self.header = tag in FURNITURE_TAGS, tag in MAIN_TAGS, tag == "header"
+        self.named = self.comments = False
         if attributes.strip():
             self._read(attributes)
 
@@ -61,10 +65,10 @@ class Node:
         self.href, role = found.get("href"), found.get("role", "").lower()
         words = {w.lower() for key in ("class", "id") for w in NAME_PARTS.findall(found.get(key, ""))}
         self.main = self.main or role == "main" or found.get("itemprop") == "articleBody"
-        self.header = self.header or "header" in words
+        self.named, self.comments = bool(words & FURNITURE_WORDS), bool(words & COMMENT_WORDS)
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
         if self.tag not in ("html", "body", "main"):
-            self.furniture = self.furniture or role in FURNITURE_ROLES or bool(words & FURNITURE_WORDS) or bool(hidden)
+            self.furniture = self.furniture or role in FURNITURE_ROLES or bool(hidden)
 
 
 def parse(text: str) -> Node:
@@ -199,22 +203,31 @@ def style_trees(pages: DataFrame, gamma: float = 0.9, min_tasks: int = 1) -> Dat
     return tree.select("host", "path", "pages", "presentation", "content", importance.alias("importance"))
 
 
-def _mains(node: Node) -> list[Node]:
-    """The outermost main elements that are no furniture and are in none."""
-    found, waiting = [], [node]
+def _mains(root: Node) -> tuple[set[int], set[int]]:
+    """(the outermost main elements that are no furniture and are in none, all elements that hold one of them), as ids."""
+    found, holders, waiting = set(), set(), [(root, None)]
     while waiting:
-        n = waiting.pop()
-        if n.main and not n.furniture:
-            found.append(n)
-        elif not n.furniture:
-            waiting.extend(c for c in reversed(n.children) if not isinstance(c, str))
-    return found
+        above = waiting.pop()
+        node, up = above
+        if node.furniture:
+            continue
+        if node.main:
+            found.add(id(node))
+            while up and id(up[0]) not in holders:
+                holders.add(id(up[0]))
+                up = up[1]
+        else:
+            waiting.extend((c, above) for c in node.children if not isinstance(c, str))
+    return found, holders
+
 
+def main_text(page: str | None, low: frozenset[str] = frozenset(), weak: frozenset[str] = frozenset()) -> str:
+    """The blocks of a page's main text, one a line, without furniture, the boxes at ``low`` paths and those named like furniture at ``weak`` ones.
 
-def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
-    """The blocks of a page's main text, one a line, without furniture and the branches at ``low`` paths."""
+    No box that is or holds an article or main element leaves by its path or name.
+    """
     root = parse(page or "")
-    mains = {id(n) for n in _mains(root)}
+    mains, holders = _mains(root)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -224,8 +237,8 @@ def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
             blocks.append(line)
         run.clear()
 
-    # (node, path, within main text, only headings); a string or None to end a block
-    waiting: list = [(root, "", not mains, False)]
+    # (node, path, within main text, only headings, in an article: 1, and in its comments: 2); a string or None to end a block
+    waiting: list = [(root, "", not mains, False, 0)]
     while waiting:
         item = waiting.pop()
         if item is None:
@@ -234,12 +247,14 @@ def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
         if isinstance(item, str):
             run.append(item)
             continue
-        node, path, inside, headings = item
+        node, path, inside, headings, depth = item
         inside = inside or id(node) in mains
-        if node.furniture and not id(node) in mains or node.tag in BOXES and path in low:
+        unimportant = node.tag in BOXES and (path in low or node.named and path in weak) and id(node) not in mains and id(node) not in holders
+        if node.furniture or unimportant or node.main and depth == 2:
             if node.tag in BLOCKS:
                 flush()
             continue
+        depth = 1 if node.tag == "article" and not depth else 2 if depth and node.comments else depth
         if node.header and node.tag not in HOLDERS:
             if not mains:
                 flush()
@@ -256,30 +271,31 @@ def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
             waiting.append(None)
         for child in reversed(node.children):
             if not isinstance(child, str):
-                waiting.append((child, f"{path}/{child.label}", inside, headings))
+                waiting.append((child, f"{path}/{child.label}", inside, headings, depth))
             elif inside and not headings:
                 waiting.append(child)
     flush()
     return "\n".join(blocks)
 
 
-def extract(pages: DataFrame, least_importance: float = 0.25, least_pages: int = 4, min_tasks: int = 1) -> DataFrame:
+def extract(pages: DataFrame, least_importance: float = 0.25, named_importance: float = 0.5, least_pages: int = 4, min_tasks: int = 1) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages`` (page_id, url, html).
 
     Null and empty pages, and pages of furniture only, give an empty text. Only elements seen on
-    ``least_pages`` pages of a host are judged by importance. Repeated rows and
+    ``least_pages`` pages of a host are judged by importance: boxes need ``least_importance``, those
+    whose class or id sounds like furniture ``named_importance``. Repeated rows and
     null ids or URLs are pages like any other; other columns are ignored.
     """
     trees = style_trees(pages, min_tasks=min_tasks)
-    low = trees.where((F.col("importance") < least_importance) & (F.col("pages") >= least_pages))
+    low = trees.where((F.col("importance") < max(least_importance, named_importance)) & (F.col("pages") >= least_pages))
     low = low.where(F.regexp_extract("path", r"([^/.]*)[^/]*$", 1).isin(sorted(BOXES)))
     # A row per host with its unimportant boxes: broadcast by the planner where small, else a join whose hot hosts are split.
-    low = stage(low.groupBy("host").agg(F.collect_set("path").alias("low")), "unimportant")
-    rows = parallel(pages.select("page_id", "url", "html"), min_tasks).withColumn("host", host_of(F.col("url"))).join(low, "host", "left").select("page_id", "url", "html", "low")
+    low = stage(low.groupBy("host").agg(*[F.collect_set(F.when(F.col("importance") < least, F.col("path"))).alias(name) for name, least in (("low", least_importance), ("weak", named_importance))]), "unimportant")
+    rows = parallel(pages.select("page_id", "url", "html"), min_tasks).withColumn("host", host_of(F.col("url"))).join(low, "host", "left").select("page_id", "url", "html", "low", "weak")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page.as_py(), frozenset(paths.as_py() or ())) for page, paths in zip(batch.column(2), batch.column(3))]
+            texts = [main_text(page.as_py(), frozenset(low.as_py() or ()), frozenset(weak.as_py() or ())) for page, low, weak in zip(*batch.columns[2:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     types = dict((f.name, f.dataType) for f in pages.schema.fields)

@@ -33,3 +33,24 @@ def test_copies_of_an_article_stay(spark):
     same = "<body><article><h1>T</h1><div><p>One text</p></div></article></body>"
     df = spark.createDataFrame([(i, "http://site.example/", same) for i in range(6)] + [(9, "http://x/", "<article><p>Só</article>")], "page_id long, url string, html string")
     assert {r.text for r in html_main.extract(df).collect()} == {"T\nOne text", "Só"}
+
+
+def test_names_alone_remove_nothing(spark):
+    pages = {
+        "<body><article class='post share-enabled'><h1>T</h1><p>One</p></article></body>": "T\nOne",
+        "<body><div class='has-sidebar'><article><p>One</p></article></div></body>": "One",
+        "<body><main><div class='page-widget'><article><p>One</p></article></div></main></body>": "One",
+        "<article><h2 id='related-work'>Related work</h2><p id='notice'>One</p><section id='discussion'><p>Two</p></section></article>": "Related work\nOne\nTwo",
+        "<body><h2 id='http-header-fields'>Fields</h2><div class='with-header'><p>One</p></div><section id='discussion'><p>Two</p></section></body>": "Fields\nOne\nTwo",
+    }
+    for page, text in pages.items():
+        assert html_main.main_text(page) == text, page
+    # Low importance takes no box that is or holds the article.
+    assert html_main.main_text("<div class='has-sidebar'><article><p>One</p></article></div>", frozenset(["/div.has-sidebar"])) == "One"
+    # One line of three new: enough for a box without a name, too little for one named like furniture.
+    page = "<body><div class='{}'><p>Our shop since 1900</p><p>Open all day</p><p>Offer {} of today</p></div><div class='story'><p>Story {} told</p></div></body>"
+    rows = [(100 * k + i, f"http://h{k}.example/{i}", page.format(name, i, i)) for k, name in enumerate(("plain", "sidebar")) for i in range(12)]
+    rows += [(300 + i, f"http://h3.example/{i}", f"<body><div class='has-sidebar'><div class='promo'><ul><li>Buy</li></ul></div><h1>T {i}</h1><p>Story {i}</p></div></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Our shop since 1900\nOpen all day\nOffer {i} of today\nStory {i} told" and got[100 + i] == f"Story {i} told" for i in range(12))
+    assert all(got[300 + i] == f"T {i}\nStory {i}" for i in range(12))
