@@ -1,7 +1,8 @@
 """Main text of web pages by site style trees.
 
 The document trees of a host's pages are merged into one style tree: an element
-is its path of tags and first classes, its styles are the sequences of its
+is its path of tags and first classes, and for boxes alike also their place
+among the boxes around them; its styles are the sequences of its
 children, its contents the texts and links right in it. An element whose
 styles or contents differ from page to page is important, one that looks and
 reads the same everywhere is not; both are measured as entropies over the
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,6 +42,8 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
 MAIN_TAGS, HOLDERS = frozenset(("article", "main")), frozenset(("html", "body", "article", "main"))
 #: Only boxes are removed for low importance, never a paragraph or heading on its own.
 BOXES = frozenset("div section ul ol dl table figure header details center fieldset".split())
+#: What a page is laid out with; the other boxes are also found within running text.
+LAYOUT = frozenset("div section header details center fieldset article main nav aside footer form".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
@@ -61,7 +65,7 @@ class Node:
         for name, *values in ATTRIBUTE.findall(attributes):
             found.setdefault(name.lower(), entities.unescape(next((v for v in values if v), "")))
         if found.get("class", "").split():
-            self.label = f"{self.tag}.{found['class'].split()[0][:40].replace('/', '_')}"
+            self.label = f"{self.tag}.{found['class'].split()[0][:40].replace('/', '_').replace('@', '_')}"
         self.href, role = found.get("href"), found.get("role", "").lower()
         words = {w.lower() for key in ("class", "id") for w in NAME_PARTS.findall(found.get(key, ""))}
         self.main = self.main or role == "main" or found.get("itemprop") == "articleBody"
@@ -117,6 +121,31 @@ def parse(text: str) -> Node:
             open_.append(node)
 
 
+def children_of(node: Node) -> list[tuple[Node, str]]:
+    """The elements in a node with their names in its path.
+
+    Boxes without class, or with one that a sibling has too, are told apart by
+    the tags of the boxes in the node (of those for layout, for a box for layout)
+    and their place among them. How much text and how many paragraphs stand
+    between them doesn't matter.
+    """
+    children = [c for c in node.children if not isinstance(c, str)]
+    labels = Counter(c.label for c in children if c.tag in BOXES)
+    if not labels:
+        return [(c, c.label) for c in children]
+    rows = [[c.tag for c in children if c.tag in kinds] for kinds in (LAYOUT, LAYOUT | BOXES)]
+    prints = [f"{zlib.crc32(' '.join(row).encode('utf-8', 'surrogatepass')):08x}" for row in rows]
+    out, at = [], [0, 0]
+    for c in children:
+        k, name = int(c.tag not in LAYOUT), c.label
+        if c.tag in BOXES and len(rows[k]) > 1 and (labels[name] > 1 or name == c.tag):
+            name = f"{name}@{prints[k]}:{at[k]}"
+        at[0] += c.tag in LAYOUT
+        at[1] += c.tag in LAYOUT or c.tag in BOXES
+        out.append((c, name))
+    return out
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL; null and hostless URLs share the host ''."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
@@ -133,17 +162,14 @@ def observations(page: str) -> Iterator[tuple[str, str, int]]:
     while waiting:
         path, node = waiting.pop()
         style, own = styles.setdefault(path, []), contents.setdefault(path, set())
-        for child in node.children:
-            if isinstance(child, str):
-                if child.strip():
-                    own.add(digest(" ".join(child.split())))
-                continue
+        own.update(digest(" ".join(c.split())) for c in node.children if isinstance(c, str) and c.strip())
+        for child, name in children_of(node):
             if not style or style[-1] != child.label:
                 style.append(child.label)
             if child.href:
                 own.add(digest("href " + child.href))
             if child.tag not in RAW:
-                waiting.append((f"{path}/{child.label}", child))
+                waiting.append((f"{path}/{name}", child))
     for path, style in styles.items():
         yield path, "page", 0
         yield path, "style", digest(">".join(style)) if style else 0
@@ -269,9 +295,10 @@ def main_text(page: str | None, low: frozenset[str] = frozenset(), weak: frozens
         if block:
             flush()
             waiting.append(None)
+        names = children_of(node)
         for child in reversed(node.children):
             if not isinstance(child, str):
-                waiting.append((child, f"{path}/{child.label}", inside, headings, depth))
+                waiting.append((child, f"{path}/{names.pop()[1]}", inside, headings, depth))
             elif inside and not headings:
                 waiting.append(child)
     flush()
@@ -288,7 +315,7 @@ def extract(pages: DataFrame, least_importance: float = 0.25, named_importance:
     """
     trees = style_trees(pages, min_tasks=min_tasks)
     low = trees.where((F.col("importance") < max(least_importance, named_importance)) & (F.col("pages") >= least_pages))
-    low = low.where(F.regexp_extract("path", r"([^/.]*)[^/]*$", 1).isin(sorted(BOXES)))
+    low = low.where(F.regexp_extract("path", r"([^/.@]*)[^/]*$", 1).isin(sorted(BOXES)))
     # A row per host with its unimportant boxes: broadcast by the planner where small, else a join whose hot hosts are split.
     low = stage(low.groupBy("host").agg(*[F.collect_set(F.when(F.col("importance") < least, F.col("path"))).alias(name) for name, least in (("low", least_importance), ("weak", named_importance))]), "unimportant")
     rows = parallel(pages.select("page_id", "url", "html"), min_tasks).withColumn("host", host_of(F.col("url"))).join(low, "host", "left").select("page_id", "url", "html", "low", "weak")

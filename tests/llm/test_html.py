@@ -54,3 +54,19 @@ def test_names_alone_remove_nothing(spark):
     got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Our shop since 1900\nOpen all day\nOffer {i} of today\nStory {i} told" and got[100 + i] == f"Story {i} told" for i in range(12))
     assert all(got[300 + i] == f"T {i}\nStory {i}" for i in range(12))
+
+
+def test_classless_boxes_are_judged_by_their_place(spark):
+    menu = "<div>" + "".join(f"<a href='/{k}'>Item {k}</a> " for k in range(10)) + "</div>"
+    def page(host, i):
+        story = f"<h1>Title {i}</h1>" + "".join(f"<p>Story {host} {i} {k}</p>" for k in range(3 + (i % 3) * (host == 1) + 40 * (host == 2)))
+        listed = f"<ul><li>Point {i}</li></ul>" * (i % 2)
+        if host == 3:  # not in a box of its own, with lists here and there
+            return f"<body>{menu}{story}{listed}<div>All rights reserved</div></body>"
+        return f"<body>{menu}{'<div>Buy now</div>' if i % 2 and host == 1 else ''}<div>{story}{listed}</div><div>All rights reserved</div></body>"
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", page(h, i)) for h in range(4) for i in range(12)]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for h in range(4):
+        for i in range(12):
+            lines = [f"Title {i}"] + [f"Story {h} {i} {k}" for k in range(3 + (i % 3) * (h == 1) + 40 * (h == 2))] + [f"Point {i}"] * (i % 2)
+            assert got[100 * h + i].split("\n") == lines, (h, i)
