@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A text is a sequence of words. Each word enters as a learned word vector
+A text is a sequence of words; a long word enters as its overlapping slices
+and as its parts between marks. Each word enters as a learned word vector
 (hashed words) beside the mean of learned vectors of its runs of three and six
 characters, and with how much more often training texts of label 1 hold the
 word or its most telling run. Two gated
@@ -11,6 +12,7 @@ takes the highest. Everything is trained here, in numpy.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +27,28 @@ WORD_SLOTS, GRAM_SLOTS = 1 << 18, 1 << 17
 WORD_SIZE, GRAM_SIZE, STATE = 6, 8, 8
 #: Words whose inputs a worker keeps; beyond it the memory is emptied, results stay the same.
 WORD_CACHE = 400_000
+#: Longer words are sliced; what is no longer than the overlap is whole in a slice.
+LONGEST, OVERLAP = 40, 12
 TRIM = "\"'.,;:!?()[]{}<>|#$%&*+-/\\=@^_`~«»„“”‘’…"
 
 
+JOINS = re.compile(f"[{re.escape(TRIM)}]+")
+
+
+def slices(word: str) -> list[str]:
+    """Overlapping slices that cover a long word, then its parts between marks that are short enough to be words."""
+    if len(word) <= LONGEST:
+        return [word]
+    parts = JOINS.split(word)
+    cut = [word[s:s + LONGEST] for s in range(0, len(word) - OVERLAP, LONGEST - OVERLAP)]
+    return cut + [p for p in parts if p and len(p) <= LONGEST]
+
+
 def words_of(text: str | None) -> list[str]:
-    """White-space words of a text, lower case, without marks at their ends; a word repeated at once counts once."""
+    """White-space words of a text, lower case, without marks at their ends, long ones in slices; a word repeated at once counts once."""
     words = [w.strip(TRIM) for w in text.lower().split()] if text else []
+    if any(len(w) > LONGEST for w in words):
+        words = [s for w in words for s in slices(w)]
     return words[:1] + [w for w, before in zip(words[1:], words) if w != before]
 
 
@@ -45,7 +63,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     slots = np.fromiter((_slot(w, WORD_SLOTS) for w in words), np.int64, len(words))
     grams, owner = [], []
     for i, w in enumerate(words):
-        p = f"<{w[:40]}>"  # a bag of runs; the word slot has the whole word
+        p = f"<{w}>"  # a bag of runs; the word slot has the whole word
         own = [p[k:k + 3] for k in range(max(1, len(p) - 2))] + [p[k:k + 6] for k in range(len(p) - 5)]
         grams.extend(own)
         owner.extend([i] * len(own))

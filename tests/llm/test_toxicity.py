@@ -61,3 +61,24 @@ def test_learns_words_and_finds_them_anywhere(spark):
 
 def test_without_both_labels():
     assert toxicity.train(["a b", "c"], np.array([0, 0])) is None and toxicity.train(["", " "], np.array([0, 1])) is None
+
+
+def test_long_words_are_read_to_their_end():
+    for word in ("".join(chr(0x4E00 + k) for k in range(n)) for n in (40, 41, 52, 53, 68, 69, 500)):
+        got = toxicity.words_of(word)
+        assert all(len(w) <= toxicity.LONGEST for w in got) and all(any(word[k:k + 12] in w for w in got) for k in range(len(word) - 11))
+    assert {"grumble", "b"} <= set(toxicity.words_of("http://" + "a" * 50 + ".example/b/x-grumble"))
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abdeilnorst") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+
+    def text(toxic, n, join=" "):
+        out = [rng.choice(words) for _ in range(n)]
+        for k in range(3 * toxic):
+            out[rng.randrange(n // 2, n)] = rng.choice(["grumble", "zonker", "fnord"])
+        return join.join(out)
+
+    y = np.array([i % 5 == 0 for i in range(300)], int)
+    score = toxicity.Scorer(toxicity.train([text(t, rng.randrange(30, 150)) for t in y], y, rounds=6, least_steps=300))
+    for join in ("-", "_", "/", ".", ""):
+        got = [score([text(t, 40, join) for _ in range(10)]) >= 0.3 for t in (0, 1)]
+        assert sum(~got[0]) >= 7 and sum(got[1]) >= 9, (join, got)
