@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hnsw, html_main, langid, minhash, mixing, packing, quality_model, quality_rules, toxicity, warc
+from . import hnsw, html_main, langid, merkle, minhash, mixing, packing, quality_model, quality_rules, toxicity, warc
 from .common import fold, scratch_path, table
 
 QUERIES: dict = {}
@@ -140,3 +140,52 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"), min_tasks=cores(spark))
+
+
+OP11_SQL = r"""
+with recursive
+table_of as (
+  select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as crcs from range(256) t(i)),
+told as (
+  select doc_id, source, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])) as inverse,
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head,
+    text, replace(text, chr(10), '') as bare
+  from documents, table_of),
+leaves as (
+  select doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    sha256(head || case when xor(inverse, 4294967295) % 2 = 0 then coalesce(strlen(bare) || ':' || bare, '-') else coalesce(strlen(text) || ':' || text, '-') end) as seen
+  from told),
+placed as (
+  select *, row_number() over () as id, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by source) as n from leaves),
+nodes as (
+  select source, 0::bigint as level, place, leaf as hash, n from placed
+  union all
+  select source, level + 1, place // 3, sha256(string_agg(hash, '' order by place)), (any_value(n) + 2) // 3 from nodes where n > 1 group by source, level, place // 3),
+sides as (
+  select *, coalesce(string_agg(hash, '') over (partition by source, level, place // 3 order by place rows between unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(hash, '') over (partition by source, level, place // 3 order by place rows between 1 following and unbounded following), '') as r from nodes),
+walk as (
+  select id, doc_id, leaf, source, 0::bigint as level, place, seen as held, '' as proof from placed
+  union all
+  select id, doc_id, leaf, w.source, w.level + 1, w.place // 3, sha256(l || held || r), proof || l || r
+  from walk w join sides s on w.source is not distinct from s.source and w.level = s.level and w.place = s.place where s.n > 1),
+subroots as (select source, level, hash as subroot, row_number() over (order by source nulls first) - 1 as rank, count(*) over () as k from nodes where n = 1),
+crown as (
+  select 0::bigint as level, rank as place, subroot as hash, k as n from subroots
+  union all
+  select level + 1, place // 3, sha256(string_agg(hash, '' order by place)), (any_value(n) + 2) // 3 from crown where n > 1 group by level, place // 3),
+over_sides as (
+  select *, coalesce(string_agg(hash, '') over (partition by level, place // 3 order by place rows between unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(hash, '') over (partition by level, place // 3 order by place rows between 1 following and unbounded following), '') as r from crown),
+climb as (
+  select id, doc_id, leaf, subroot, 0::bigint as level, rank as place, held, proof from walk w join subroots s on w.source is not distinct from s.source and w.level = s.level
+  union all
+  select id, doc_id, leaf, subroot, c.level + 1, c.place // 3, sha256(l || held || r), proof || l || r from climb c join over_sides s on c.level = s.level and c.place = s.place where s.n > 1)
+select doc_id, leaf, subroot, hash as root, sha256(proof) as proof_sha256, held as folded_root, held = hash as verified
+from climb join crown on n = 1 and climb.level = crown.level
+"""
+
+
+@query(OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.without_line_ends(table(spark, sf_dir, "documents"))
