@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hnsw, html_main, langid, merkle, minhash, mixing, packing, quality_model, quality_rules, toxicity, warc
+from . import hnsw, html_main, langid, merkle, minhash, mixing, packing, quality_model, quality_rules, runs, toxicity, warc
 from .common import fold, scratch_path, table
 
 QUERIES: dict = {}
@@ -189,3 +189,8 @@ from climb join crown on n = 1 and climb.level = crown.level
 @query(OP11_SQL)
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.without_line_ends(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True, min_tasks=cores(spark))
