@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hnsw, html_main, langid, merkle, minhash, mixing, packing, quality_model, quality_rules, runs, toxicity, warc
+from . import hnsw, html_main, imatch, langid, merkle, minhash, mixing, packing, quality_model, quality_rules, runs, toxicity, warc
 from .common import fold, scratch_path, table
 
 QUERIES: dict = {}
@@ -194,3 +194,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True, min_tasks=cores(spark))
+
+
+@query(imatch.oracle_sql())
+def op12_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_with_edited(table(spark, sf_dir, "documents"), min_tasks=cores(spark))
