@@ -46,9 +46,8 @@ def _depths(term: Column) -> Column:
     packed = F.lit(0)
     for s in range(SERIES):
         draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{s}:"), term).cast("binary")), 1, 3), 16, 10).cast("int")
-        depth = F.lit(0)
-        for k in range(1, DEPTH + 1):
-            depth = F.when(draw < (4096 >> k), F.lit(k)).otherwise(depth)
+        # a draw below 2^(12 - k) of 2^12 has at most 12 - k binary digits
+        depth = F.when(draw == 0, DEPTH).otherwise(F.least(F.lit(DEPTH), 12 - F.length(F.bin(draw))))
         packed = packed + depth * (16**s)
     return packed.cast("int")
 
@@ -61,13 +60,17 @@ def lexicon(docs: DataFrame, rare: float = RARE, common: float = COMMON) -> Data
     return stage(banded.select("term", _depths(F.col("term")).alias("depths")), "lexicon")
 
 
-def _kept(entries: str, series: int, depth: int) -> Column:
-    """Those of the entries that the subset of this depth keeps."""
-    return F.filter(entries, lambda e: F.shiftright(e["depths"], 4 * series).bitwiseAND(15) >= depth)
+def _kept(lists: Column, depth: int) -> Column:
+    """Of each list (one per text and series) the entries that the series' subset of this depth keeps."""
+
+    def keeps(series: Column):
+        return lambda e: F.call_function("shiftright", e["depths"], series * 4).bitwiseAND(15) >= depth
+
+    return F.transform(lists, lambda entries, i: F.filter(entries, keeps(i % SERIES)))
 
 
 def _sided(text: str, side: int) -> Column:
-    return F.transform(terms(F.col(text)), lambda t: F.struct(F.lit(side).alias("side"), t.alias("term")))
+    return F.transform(terms(F.col(text)), lambda t: F.struct(F.lit(side).alias("side"), t.alias("term"), F.lit(None).cast("string").alias("with")))
 
 
 def _hashed(entries: Column) -> Column:
@@ -75,29 +78,27 @@ def _hashed(entries: Column) -> Column:
     return F.when(F.size(entries) == 0, F.lit(EMPTY)).otherwise(F.substring(F.md5(listed.cast("binary")), 1, WIDTH))
 
 
-def with_prints(docs: DataFrame, words: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
-    """``keys`` and, per text column, its fingerprint as bytes; ``texts`` maps text columns to result columns.
+def with_prints(docs: DataFrame, words: DataFrame, keys: list[str], texts: dict[str, str], carried: str) -> DataFrame:
+    """``keys``, ``carried`` and, per text column, its fingerprint as bytes; ``texts`` maps text columns to result columns.
 
     ``keys`` identify a row. Where the rows are already dealt by the first key,
-    the terms come back together without another shuffle.
+    the terms come back together without another shuffle. A row goes through
+    that gathering once a term, so only the keys go with it; the carried string
+    goes with the empty term, which stands for the row itself.
     """
     sides = list(texts)
-    listed = F.concat(F.array(F.struct(F.lit(-1).alias("side"), F.lit("").alias("term"))), *[_sided(c, s) for s, c in enumerate(sides)])
-    single = docs.select(*keys, F.explode(listed).alias("_e")).select(*keys, "_e.side", "_e.term")
-    # the empty term brings back documents without a term of the lexicon
+    itself = F.array(F.struct(F.lit(-1).alias("side"), F.lit("").alias("term"), F.col(carried).alias("with")))
+    listed = F.concat(itself, *[_sided(c, s) for s, c in enumerate(sides)])
+    single = docs.select(*keys, F.explode(listed).alias("_e")).select(*keys, "_e.side", "_e.term", "_e.with")
     known = words.unionByName(words.sparkSession.createDataFrame([("", 0)], words.schema))
     known = F.broadcast(known) if words.count() <= LEXICON_TERMS else known
     entry = F.struct("term", "depths")
-    gathered = single.join(known, "term").groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, entry))).alias(f"_{FIRST - 1}_{s}") for s in range(len(sides))])
-    now = gathered
-    for s in range(len(sides)):
-        now = now.withColumns({f"_{FIRST - 1}_{s}_{r}": F.col(f"_{FIRST - 1}_{s}") for r in range(SERIES)}).drop(f"_{FIRST - 1}_{s}")
-    names = [f"{s}_{r}" for s in range(len(sides)) for r in range(SERIES)]
+    lists = [F.array_repeat(F.array_sort(F.collect_list(F.when(F.col("side") == s, entry))), SERIES) for s in range(len(sides))]
+    now = single.join(known, "term").groupBy(*keys).agg(F.max("with").alias(carried), F.concat(*lists).alias("_lists"))
     for k in range(FIRST, DEPTH + 1):  # each subset is filtered from the one that holds it
-        kept = {f"_{k}_{n}": _kept(f"_{k - 1}_{n}", int(n.split("_")[1]), k) for n in names}
-        now = now.withColumns(kept).drop(*[f"_{k - 1}_{n}" for n in names]).withColumns({f"_h{k}_{n}": _hashed(F.col(f"_{k}_{n}")) for n in names})
-    prints = [F.unhex(F.concat(*[F.col(f"_h{k}_{s}_{r}") for k in range(FIRST, DEPTH + 1) for r in range(SERIES)])).alias(texts[c]) for s, c in enumerate(sides)]
-    return now.select(*keys, *prints)
+        now = now.withColumn("_lists", _kept(F.col("_lists"), k)).withColumn(f"_h{k}", F.transform("_lists", _hashed))
+    prints = [F.concat(*[F.slice(f"_h{k}", 1 + s * SERIES, SERIES) for k in range(FIRST, DEPTH + 1)]) for s in range(len(sides))]
+    return now.select(*keys, carried, *[F.unhex(F.array_join(p, "")).alias(texts[c]) for c, p in zip(sides, prints, strict=True)])
 
 
 def shown(prints: Column) -> Column:
@@ -106,10 +107,9 @@ def shown(prints: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among the subsets in which either fingerprint (hexadecimal) has a term; 1 if none has."""
-    parts = [(F.substring(a, 1 + WIDTH * k, WIDTH), F.substring(b, 1 + WIDTH * k, WIDTH)) for k in range(SUBSETS)]
-    used = sum((F.when((x != EMPTY) | (y != EMPTY), 1).otherwise(0) for x, y in parts), F.lit(0))
-    same = sum((F.when((x != EMPTY) & (x == y), 1).otherwise(0) for x, y in parts), F.lit(0))
-    return F.when(used == 0, F.lit(1.0)).otherwise(same / used)
+    both = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.struct(F.substring(a, k * WIDTH + 1, F.lit(WIDTH)).alias("a"), F.substring(b, k * WIDTH + 1, F.lit(WIDTH)).alias("b")))
+    used = F.filter(both, lambda x: (x["a"] != EMPTY) | (x["b"] != EMPTY))
+    return F.when(F.size(used) == 0, F.lit(1.0)).otherwise(F.size(F.filter(used, lambda x: x["a"] == x["b"])) / F.size(used))
 
 
 def compare_with_edited(docs: DataFrame, rare: float = RARE, common: float = COMMON, min_tasks: int = 0) -> DataFrame:
@@ -117,7 +117,7 @@ def compare_with_edited(docs: DataFrame, rare: float = RARE, common: float = COM
 
     The edit replaces the last quarter of the code points (rounded down) by the
     first as many of the next document, or all it has; documents ascend by
-    doc_id (null first), those of one doc_id by the hash of their text, and the
+    doc_id (null first), those of one doc_id by the hash of id and text, and the
     first follows the last. Repeated rows follow each other; a row alone is its
     own successor. Null texts count as empty: their fingerprint has no term.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
@@ -127,30 +127,29 @@ def compare_with_edited(docs: DataFrame, rare: float = RARE, common: float = COM
     the document before needs them, travel to another key.
     """
     rows = parallel(narrow(docs, "doc_id", "text"), min_tasks).withColumn("text", F.coalesce("text", F.lit("")))
-    keyed = rows.withColumn("digest", F.md5(F.col("text").cast("binary"))).withColumn("key", F.concat_ws(":", F.col("doc_id").cast("string"), "digest"))
+    told = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))
+    keyed = rows.withColumn("key", F.unhex(F.md5(told.cast("binary"))))
     words = lexicon(rows, rare, common)
-    facts = keyed.groupBy("key", "doc_id", "digest").agg(F.count("*").alias("copies"), F.first(F.length("text")).alias("n_chars"))
-    facts = numbered(facts, "doc_id", "digest").select("position", "key", "copies", F.expr("n_chars div 4").alias("tail"))
-    facts = stage(facts, "facts")
+    facts = keyed.groupBy("key", "doc_id").agg(F.count("*").cast("int").alias("copies"), F.first(F.length("text")).alias("n_chars"))
+    facts = stage(numbered(facts, "doc_id", "key"), "facts")
     n = facts.count()
     ahead = facts.select(((F.col("position") + n - 1) % max(n, 1)).alias("position"), F.col("key").alias("next_key"))
     order = stage(facts.join(ahead, "position").drop("position"), "order")
-    dealt = keyed.select("key", "doc_id", "text").repartition("key")
-    wanted = order.select(F.col("next_key").alias("key"), F.col("key").alias("to"), F.col("tail").alias("need")).where("need > 0")
-    given = dealt.select("key", "text").join(wanted, "key").select(F.col("to"), F.substring("text", F.lit(1), F.col("need")).alias("head"))
-    heads = given.groupBy("to").agg(F.first("head").alias("head"))
-    known = dealt.join(order, "key").join(heads, F.col("key") == F.col("to"), "left").drop("to")
-    copy = known.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
-    last = F.col("copy") == F.col("copies")
-    grafted = F.when(last, F.coalesce("head", F.lit(""))).otherwise(F.substring("text", F.lit(1), F.col("tail")))
-    edited = copy.select("key", "copy", "doc_id", F.length("text").cast("long").alias("n_chars"), F.when(last, F.col("next_key")).otherwise(F.col("key")).alias("next_key"),
-                         "text", F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("tail")), grafted).alias("edited"))
+    tail = F.expr("n_chars div 4")
+    dealt = keyed.select("key", "text").repartition("key")
+    wanted = order.select(F.col("next_key").alias("key"), F.col("key").alias("to"), tail.alias("need")).where("need > 0")
+    heads = dealt.join(wanted, "key").select(F.col("to"), F.substring("text", F.lit(1), F.col("need")).alias("head")).groupBy("to").agg(F.first("head").alias("head"))
+    known = dealt.join(order.select("key", "copies", tail.alias("tail")), "key").join(heads, F.col("key") == F.col("to"), "left").drop("to")
+    known = known.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+    follows = F.when(F.col("copy") == F.col("copies"), F.coalesce("head", F.lit(""))).otherwise(F.substring("text", F.lit(1), F.col("tail")))
+    edited = known.select("key", "copy", "text", F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("tail")), follows).alias("edited"))
     edited = edited.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    prints = with_prints(edited, words, ["key", "copy", "doc_id", "n_chars", "next_key", "edited_sha256"], {"text": "own", "edited": "changed"})
-    prints = stage(prints, "prints")
-    follow = prints.where("copy = 1").select(F.col("key").alias("next_key"), F.col("own").alias("next"))
-    joined = prints.join(follow, "next_key").select("doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("changed")).alias("edited_fingerprint"), shown(F.col("next")).alias("next"))
-    return joined.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"))
+    prints = stage(with_prints(edited, words, ["key", "copy"], {"text": "own", "edited": "changed"}, "edited_sha256"), "prints")
+    next_one = F.when(F.col("copy") == F.col("copies"), F.col("next_key")).otherwise(F.col("key")).alias("next_key")
+    linked = prints.join(order, "key").select(next_one, "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "own", "changed")
+    joined = linked.join(prints.where("copy = 1").select(F.col("key").alias("next_key"), F.col("own").alias("next")), "next_key")
+    hexed = joined.select("doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("changed")).alias("edited_fingerprint"), shown(F.col("next")).alias("next"))
+    return hexed.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"))
 
 
 def oracle_sql(rare: float = RARE, common: float = COMMON) -> str:
@@ -170,7 +169,7 @@ def oracle_sql(rare: float = RARE, common: float = COMMON) -> str:
         return f"case when {used} = 0 then 1.0 else ({same})::double / ({used}) end"
 
     return f"""
-with rows as (select doc_id, coalesce(text, '') as text, row_number() over (order by doc_id nulls first, md5(coalesce(text, ''))) as p from documents),
+with rows as (select doc_id, coalesce(text, '') as text, row_number() over (order by doc_id nulls first, md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, ''))) as p from documents),
 next as (select *, coalesce(lead(p) over (order by p), 1) as q, coalesce(lead(text) over (order by p), first(text) over (order by p)) as follows from rows),
 edits as (select p, q, doc_id, length(text) as n_chars, text, substr(text, 1, length(text) - length(text) // 4) || substr(follows, 1, length(text) // 4) as edited from next),
 counts as (select term, count(*) as found from (select unnest({split('text')}) as term from rows) group by term),

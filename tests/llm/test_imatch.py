@@ -18,7 +18,7 @@ def terms(text):
 
 def brute(rows, rare, common):
     """Fingerprints by plain sets."""
-    docs = sorted(((i is not None, i or 0, hashlib.md5((t or "").encode()).hexdigest(), i, t or "") for i, t in rows), key=lambda d: d[:3])
+    docs = sorted(((i is not None, i or 0, hashlib.md5(f"{'' if i is None else i}:{t or ''}".encode()).hexdigest(), i, t or "") for i, t in rows), key=lambda d: d[:3])
     texts = [d[4] for d in docs]
     found = Counter(w for t in texts for w in terms(t))
     lexicon = {w for w, n in found.items() if rare * len(texts) < n <= common * len(texts)}
