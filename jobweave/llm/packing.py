@@ -13,6 +13,7 @@ whole, even if a third of all pieces share it.
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Words whose token ids a worker keeps; beyond it the memory is emptied, results stay the same.
 WORD_CACHE = 600_000
+#: Texts cut into words together.
+TEXTS_AT_ONCE = 1024
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -43,16 +46,17 @@ PLAN = T.StructType([
 # --- tokens -----------------------------------------------------------------
 
 class WordIds(dict):
-    """White-space words to the bytes of their token ids (little-endian unsigned 32-bit).
+    """White-space words (UTF-8) to the bytes of their token ids (little-endian unsigned 32-bit).
 
     Tokens of this kind of vocabulary never span white space, and a run of
-    letters and the marks after it are cut apart; so a word made of letters and
-    trailing marks has the ids of its letters, then those of its marks. Letter
-    runs are encoded many at a time: the last token of each carries the word
-    end, which tells where the next one begins.
+    letters and the ASCII marks after it are cut apart; so a word of letters and
+    trailing marks has the ids of its letters, then those of its marks. That
+    holds for letters that the tokenizer's normalisation leaves as they are (or
+    only lower-cases, in ASCII); such runs go straight to the vocabulary's
+    merges. All other words go through the whole tokenizer.
     """
 
-    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 
     def __init__(self, path: str):
         import os
@@ -61,49 +65,42 @@ class WordIds(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
-        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _add_letters(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            some = words[at:at + 2000]
-            ids = np.array(self.encode([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(some):
-                data = ids.tobytes()
-                self.update(zip(some, (data[4 * i:4 * j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist()))))
-            else:  # a vocabulary without word ends
-                self._add_whole(some)
-
-    def _add_whole(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            some = words[at:at + 4096]
-            self.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.encode(some, add_special_tokens=False))))
-
-    def learn(self, words: set[str]) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merged = self.tokenizer.model.tokenize
+        self.runs: dict[str, bytes] = {}  # of letters, and of marks
+        # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = dict(zip([b for b in range(256) if b not in set(printable)], range(256, 512)))
+
+    def _letters(self, run: str) -> bytes:
+        if run not in self.runs:
+            shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
+            self.runs[run] = np.array([t.id for t in self.merged(shown)], "<u4").tobytes()
+        return self.runs[run]
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: set[bytes]) -> None:
         """Make sure that all of ``words`` are known."""
         if len(self) > WORD_CACHE:
             self.clear()
-        letters, whole, split = set(), set(), []
-        for w in words:
-            if w in self:
-                continue
-            stem = w.rstrip(self.MARKS)
-            if stem.isalpha():
-                small = stem.lower() if stem.isascii() else stem  # the tokenizer folds ASCII the same way
-                split.append((w, small, w[len(stem):]))
-                letters.add(small)
-                whole.add(w[len(stem):])
+            self.runs.clear()
+        whole, split, marks = [], [], set()
+        for raw in words.difference(self):
+            word = raw.decode()
+            stem = word.rstrip(self.MARKS)
+            small = stem.lower()
+            if stem.isalpha() and (stem.isascii() or small == stem and unicodedata.is_normalized("NFC", stem)):
+                split.append((raw, small, word[len(stem):]))
+                marks.add(word[len(stem):])
             else:
-                whole.add(w)
-        whole.discard("")
-        self[""] = b""
-        self._add_letters([w for w in letters if w not in self])
-        self._add_whole([w for w in whole if w not in self])
-        for w, stem, marks in split:
-            self[w] = self[stem] + self[marks]
+                whole.append(word)
+        new = sorted(marks.difference(self.runs))
+        self.runs.update(zip(new, self._whole(new)))
+        for raw, stem, after in split:
+            self[raw] = self._letters(stem) + self.runs[after]
+        self.update(zip([w.encode() for w in whole], self._whole(whole)))
 
 
 _WORDS: dict[str, WordIds] = {}  # of this Python worker, by tokenizer file
@@ -117,23 +114,21 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
     The result is written to the shared folder once, so ranks never change.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         from pyspark import TaskContext
 
         if tokenizer_path not in _WORDS:
             _WORDS[tokenizer_path] = WordIds(tokenizer_path)
         known = _WORDS[tokenizer_path]
-        words = re.compile("[^ \t\n\r\f\v]+")
         ranks: Counter = Counter()
         part = TaskContext.get().partitionId()
         closing = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for at in range(0, batch.num_rows, 256):
-                some = [words.findall(t) if t else [] for t in batch.column(1)[at:at + 256].to_pylist()]
-                known.learn({w for ws in some for w in ws})
-                for doc_id, ws in zip(batch.column(0)[at:at + 256].to_pylist(), some):
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                # bytes.split cuts at the six ASCII blanks
+                some = [t.split() if t else [] for t in batch.column(1)[at:at + TEXTS_AT_ONCE].cast(pa.binary()).to_pylist()]
+                known.learn(set().union(*some))
+                for doc_id, ws in zip(batch.column(0)[at:at + TEXTS_AT_ONCE].to_pylist(), some):
                     ids = b"".join([*map(known.__getitem__, ws), closing])
                     for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start:start + 4 * capacity]
@@ -173,53 +168,45 @@ class _Stock:
 
 
 class _Sums:
-    """Lengths by the sums of one, two and three of them.
+    """Which sums one, two and three of the lengths at hand have.
 
-    Pairs and triples are indexed over the ``spread`` longest and shortest
-    lengths at hand, which bounds the index; it is built anew when too many of
-    its lengths are used up.
+    A sum of k lengths and one length more make the sums of k + 1. Lengths are
+    only ever used up, so an index built earlier knows every sum there is, and
+    some that are gone; those fail at the counts.
     """
 
-    def __init__(self, stock: _Stock, capacity: int, spread: int = 48):
-        pool = stock.order if len(stock.order) <= 2 * spread else stock.order[:spread] + stock.order[-spread:]
-        self.pairs: dict[int, list[tuple[int, int]]] = {}
-        self.triples: dict[int, list[tuple[int, int, int]]] = {}
-        for i, a in enumerate(pool):
-            for b in pool[i:]:
-                if a + b > capacity:
-                    break
-                self.pairs.setdefault(a + b, []).append((b, a))
-        low = pool[:spread]
-        for i, a in enumerate(low):
-            for j, b in enumerate(low[i:], i):
-                for c in low[j:]:
-                    if a + b + c > capacity:
-                        break
-                    found = self.triples.setdefault(a + b + c, [])
-                    if len(found) < 4:
-                        found.append((c, b, a))
-
-    def filling(self, stock: _Stock, head: int, gap: int) -> list[int] | None:
-        """The lengths that with ``head`` fill the gap exactly and are at hand."""
-        if stock.times([head, gap]):
-            return [gap]
-        for i in range(bisect.bisect_right(stock.order, gap - 1) - 1, -1, -1):  # pairs of any two lengths
-            b = stock.order[i]
-            if 2 * b < gap:
-                break
-            if gap - b in stock.left and stock.times([head, b, gap - b]):
-                return [b, gap - b]
-        for index in (self.pairs, self.triples):
-            for lengths in index.get(gap, ()):
-                if stock.times([head, *lengths]):
-                    return list(lengths)
-        # a length and an indexed pair or triple
-        for i in range(bisect.bisect_right(stock.order, gap - 1) - 1, max(-1, bisect.bisect_right(stock.order, gap - 1) - 65), -1):
-            b = stock.order[i]
-            for index in (self.pairs, self.triples):
-                for lengths in index.get(gap - b, ()):
-                    if stock.times([head, b, *lengths]):
-                        return [b, *lengths]
+    DEPTH = 3
+
+    def __init__(self, stock: _Stock, capacity: int):
+        one = np.zeros(capacity + 1, bool)
+        one[stock.order] = True
+        self.sums = [np.zeros(capacity + 1, bool), one]
+        self.sums[0][0] = True
+        for _ in range(self.DEPTH - 1):
+            more = np.zeros(capacity + 1, bool)
+            for n in stock.order:
+                more[n:] |= self.sums[-1][: capacity + 1 - n]
+            self.sums.append(more)
+
+    def filling(self, stock: _Stock, chosen: list[int], gap: int) -> list[int] | None:
+        """The fewest lengths, up to one and an indexed triple, that with ``chosen`` fill the gap exactly and are at hand."""
+        order = np.array(stock.order)
+        for k in range(1, self.DEPTH + 2):
+            found = self._fill(stock, order, chosen, gap, k)
+            if found:
+                return found
+        return None
+
+    def _fill(self, stock: _Stock, order: np.ndarray, chosen: list[int], gap: int, k: int) -> list[int] | None:
+        if k == 1:
+            return [gap] if gap in stock.left and stock.times([*chosen, gap]) else None
+        # the longest of the k comes first, so each combination is met once
+        own = order[(order <= gap) & (order * k >= gap)]
+        for n in own[self.sums[k - 1][gap - own]][::-1].tolist():
+            if stock.times([*chosen, n]):
+                rest = self._fill(stock, order[order <= n], [*chosen, n], gap - n, k - 1)
+                if rest:
+                    return [n, *rest]
         return None
 
 
@@ -240,7 +227,7 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
         before = len(stock.order)
         head, chosen, gap = stock.order[-1], [stock.order[-1]], capacity - stock.order[-1]
         while gap and stock.order:
-            exact = _exact(sums, stock, chosen, gap)
+            exact = sums.filling(stock, chosen, gap)
             if exact:
                 chosen, gap = chosen + exact, 0
                 break
@@ -259,11 +246,6 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
     return out
 
 
-def _exact(sums: _Sums, stock: _Stock, chosen: list[int], gap: int) -> list[int] | None:
-    found = sums.filling(stock, chosen[0], gap)
-    return found if found and stock.times([*chosen, *found]) else None
-
-
 def plan_rows(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int]]:
     """(length, from_rank, to_rank, first_sequence, offset): ranks to places."""
     used: Counter = Counter()

@@ -43,10 +43,12 @@ def test_weights_and_quotas(spark, skewed):
 
 def test_epochs_permute_blocks(spark, skewed):
     df = spark.createDataFrame(skewed, "doc_id long, text string, source string")
-    rows = mixing.mix(df, entropy=1.0, repeats=50, block_tokens=60).where("source is null").collect()
+    rows = mixing.mix(df, entropy=1.0, repeats=50, block_tokens=20).where("source is null").collect()
     orders = {e: [b for _, b in sorted({(r.block_rank, r.block) for r in rows if r.epoch == e})] for e in {r.epoch for r in rows}}
     full = [o for o in orders.values() if len(o) == max(map(len, orders.values()))]
-    assert len(orders) > 1 and len({tuple(o) for o in full}) == len(full) and len({frozenset(o) for o in full}) == 1
+    # every full epoch holds the same blocks; of the 720 orders of six blocks a handful of epochs meets few twice
+    assert len(full[0]) >= 6 and len(full) > 5 and len({frozenset(o) for o in full}) == 1
+    assert len({tuple(o) for o in full}) >= 0.8 * len(full)
     assert len({(r.doc_id, r.epoch) for r in rows}) == len(rows)
 
 

@@ -19,6 +19,7 @@ CASES = {
     "ones": lambda r: [1] * 9000 + [r.randint(1, 4096) for _ in range(100)],
     "pairs": lambda r: [n for a in (r.randint(1, 4095) for _ in range(500)) for n in (a, 4096 - a)],
     "triples": lambda r: [n for a in (r.randint(1, 2000) for _ in range(300)) for n in (a, 2050 - a, 2046)],
+    "quadruples": lambda r: [n for a, b, c in ((r.randint(1, 900), r.randint(1, 900), r.randint(1, 900)) for _ in range(300)) for n in (a, b, c, 4096 - a - b - c)],
     "one": lambda r: [5], "none": lambda r: [],
 }
 
@@ -39,6 +40,22 @@ def test_plan(case):
         assert sequences == bound
 
 
+def test_ids_over_all_of_unicode():
+    """Every character before, between and behind letters and marks, in whole texts, against the tokenizer."""
+    rng, encode, known = random.Random(9), Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [c + m for c in every for m in (".",)] + [f"a{c} {c}b%" for c in rng.sample(every, 20000)]
+    texts += ["".join(rng.choices(["İ", "क़", "ड़", "שּ", "é", "e\u0301", "A", "ß", "'s", "'", ".", "%", "ǅ", "Σ", "ﬁ", "1", "½", "x"], k=rng.randrange(1, 9))) for _ in range(6000)]
+    bad = []
+    for at in range(0, len(texts), 4096):
+        some = texts[at:at + 4096]
+        known.learn({w for t in some for w in t.encode().split()})
+        for t, e in zip(some, encode.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            if b"".join(map(known.__getitem__, t.encode().split())) != np.array(e.ids, "<u4").tobytes():
+                bad.append(t)
+    assert bad == []
+
+
 def test_round_trip(spark):
     rows = [r[:2] for r in edge_rows()] + [(i + 1000, t) for i, t in enumerate(table("documents").text.tolist())] + [(9000, "<|endoftext|> it's A.B, é! ½ ²x"), (9001, "wordword " * 9000)]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, min_tasks=3).toPandas()
