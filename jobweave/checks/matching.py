@@ -191,7 +191,7 @@ HITS = """list_concat(
 def explain_hits(spark, sf):
     b = batch(spark, sf)
     df = plan.recommend(fixtures.postings(spark, sf), b, AS_OF, threshold=80)
-    return both(scoring.explain(df, b.words), "score", F.array_join("hits", ";").alias("hits"))
+    return both(scoring.explain(df), "score", F.array_join("hits", ";").alias("hits"))
 
 
 PRE_CTES = {

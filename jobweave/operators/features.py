@@ -1,8 +1,9 @@
 """Compact features of profiles and postings, computed once per side.
 
 Pairs of a profile and a posting only ever carry these short columns; the
-texts stay behind. Words are numbered by a vocabulary shared by a batch of
-profiles, so evidence is a matter of intersecting arrays of small integers.
+texts stay behind. Words are numbered by a table of the profiles' words, so
+evidence is a matter of intersecting arrays of small integers. Neither profiles
+nor words pass through the driver.
 """
 
 from __future__ import annotations
@@ -17,29 +18,27 @@ from ..functions.text import clean, joined, norm
 from ..session import stage
 from ..taxonomy import Taxonomy, norm_py
 from . import profiles as P
-from .terms import find_terms, hit_ids
+from .ordering import numbered
+from .wordsearch import occurrences
 
 C = F.col
-# A batch of profiles is split until its distinct words fit this bound.
-MAX_BATCH_WORDS = 100_000
-MAX_BATCH_PROFILES = 20_000
 
 
 @dataclass(frozen=True)
 class Batch:
-    """Profiles staged for matching, with the words their evidence may use."""
+    """Profiles staged for matching, with the table (n, w) of the words their evidence may use."""
 
     profiles: DataFrame
-    words: tuple[str, ...]
+    words: DataFrame
     taxonomy: Taxonomy
 
 
 def make_batch(profiles: DataFrame, taxonomy: Taxonomy, skills: int = 64, keywords: int = 40) -> Batch:
-    """Stage a batch of profiles and number its words.
+    """Stage any number of profiles and number their words.
 
     Needs the columns of ``profiles.profile`` plus ``target_locations`` and
-    ``target_directions`` (arrays). The batch size is checked here; larger sets
-    of profiles go through ``batches``.
+    ``target_directions`` (arrays). ``skills`` and ``keywords`` are the numbers
+    of a profile's skills and keywords that count, the published ones by default.
     """
     base = stage(
         profiles.select(
@@ -49,26 +48,21 @@ def make_batch(profiles: DataFrame, taxonomy: Taxonomy, skills: int = 64, keywor
         ),
         "profiles",
     )
-    if base.count() > MAX_BATCH_PROFILES:
-        raise ValueError(f"more than {MAX_BATCH_PROFILES} profiles in one batch; use batches()")
     said = base.select(F.explode(F.concat("skills", "all_keywords", "recommended_roles")).alias("w")).select(norm(C("w")).alias("w"))
-    distinct = said.filter("w is not null").distinct()
-    rows = distinct.limit(MAX_BATCH_WORDS + 1).collect()
-    if len(rows) > MAX_BATCH_WORDS:
-        raise ValueError(f"more than {MAX_BATCH_WORDS} distinct words in one batch; use batches()")
-    words = sorted({r["w"] for r in rows} | set(taxonomy.words()))
-    return Batch(_number(base, words, taxonomy), tuple(words), taxonomy)
+    fixed = base.sparkSession.createDataFrame([(w,) for w in taxonomy.words()], "w string")
+    distinct = said.where("w is not null").union(fixed).distinct()
+    words = stage(numbered(distinct, "w", position="n").select(C("n").cast("int").alias("n"), "w"), "words")
+    return Batch(_number(base, words, taxonomy), words, taxonomy)
 
 
-def batches(profiles: DataFrame, taxonomy: Taxonomy, parts: int) -> list[Batch]:
-    """Split any number of profiles into ``parts`` batches by hash of their id."""
-    part = F.pmod(F.xxhash64("profile_id"), F.lit(parts))
-    return [make_batch(profiles.filter(part == i), taxonomy) for i in range(parts)]
+def taxonomy_numbers(batch: Batch) -> dict[str, int]:
+    """The numbers of the taxonomy's own words, which are as few as its entries."""
+    own = batch.words.sparkSession.createDataFrame([(w,) for w in batch.taxonomy.words()], "w string")
+    return {r["w"]: r["n"] for r in batch.words.join(own, "w").collect()}
 
 
-def _number(base: DataFrame, words: list[str], taxonomy: Taxonomy) -> DataFrame:
-    """Replace words by numbers through one join on the (bounded) word list."""
-    table = base.sparkSession.createDataFrame(list(enumerate(words)), "n int, w string")
+def _number(base: DataFrame, words: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    """Replace words by numbers through one join on the word table."""
     generic, generic_v9 = F.lit(vocab.GENERIC_SKILLS), F.lit(vocab.V9_GENERIC)
     primary_words = F.lit([[norm_py(t) for t in taxonomy.strong_terms(i)] for i in range(len(taxonomy.domains))])
     primary = F.coalesce(F.get(primary_words, F.get("career", F.lit(0))["d"]), F.array().cast("array<string>"))
@@ -81,8 +75,8 @@ def _number(base: DataFrame, words: list[str], taxonomy: Taxonomy) -> DataFrame:
         "profile_id", primary.alias("primary_words"), F.explode(F.concat(*[numbered_words(k, c) for k, c in kinds])).alias("x")
     ).select("profile_id", "primary_words", "x.*")
     size = F.length("w")
-    numbered = said.join(F.broadcast(table), "w").select(
-        "profile_id", "k", "i", "n", "raw", size.alias("size"), F.length("raw").alias("raw_size"),
+    told = said.join(words, "w").select(
+        "profile_id", "k", "i", "n", "w", "raw", size.alias("size"), F.length("raw").alias("raw_size"),
         F.when(F.array_contains(generic, C("w")), 35).when(F.array_contains("primary_words", C("w")), 170).when(size >= 7, 125).otherwise(100).alias("w100"),
         F.when(F.array_contains(generic_v9, C("w")), 45).when(size >= 8, 135).when(size >= 5, 115).otherwise(100).alias("v9"),
         F.array_contains(generic, C("w")).alias("is_generic"),
@@ -93,7 +87,7 @@ def _number(base: DataFrame, words: list[str], taxonomy: Taxonomy) -> DataFrame:
         kept = F.array_sort(F.collect_list(F.when(condition, F.struct("i", "n"))))
         return F.transform(kept, lambda x: x["n"])
 
-    grouped = numbered.groupBy("profile_id").agg(
+    grouped = told.groupBy("profile_id").agg(
         *[ids(skill & (C("w100") == w)).alias(f"sk_{w}") for w in (35, 170, 125, 100)],
         F.coalesce(F.sum(F.when(skill, C("w100"))), F.lit(0)).alias("sk_total"),
         ids(keyword & (C("i") < 40) & (size_ok(C("size"), 3)) & ~C("is_generic")).alias("kw"),
@@ -108,10 +102,12 @@ def _number(base: DataFrame, words: list[str], taxonomy: Taxonomy) -> DataFrame:
         ids(skill & (C("i") < 14) & size_ok(C("size"), 3)).alias("sk_14"),
         *[ids(skill & (C("i") < 36) & (C("v9") == w)).alias(f"v9_{w}") for w in (45, 135, 115, 100)],
         F.coalesce(F.sum(F.when(skill & (C("i") < 36), C("v9"))), F.lit(0)).alias("v9_total"),
+        F.array_sort(F.collect_set(F.when(~role, F.struct("n", "w")))).alias("p_names"),
     )
     arrays = [n for n, t in grouped.dtypes if t == "array<int>"]
     filled = base.join(grouped, "profile_id", "left")
-    filled = filled.withColumns({a: F.coalesce(C(a), F.array().cast("array<int>")) for a in arrays} | {t: F.coalesce(C(t), F.lit(0)) for t in ("sk_total", "v9_total")})
+    no_names = F.array().cast("array<struct<n:int,w:string>>")
+    filled = filled.withColumn("p_names", F.coalesce("p_names", no_names)).withColumns({a: F.coalesce(C(a), F.array().cast("array<int>")) for a in arrays} | {t: F.coalesce(C(t), F.lit(0)) for t in ("sk_total", "v9_total")})
     top = F.slice("career", 1, 4)
     domain_names = F.lit([norm_py(d.name) for d in taxonomy.domains])
     targets = F.filter(
@@ -132,7 +128,7 @@ def _number(base: DataFrame, words: list[str], taxonomy: Taxonomy) -> DataFrame:
             F.transform(F.slice("career", 1, 5), lambda r: F.struct(r["d"].alias("d"), r["confidence"].alias("c"))).alias("p_dirs"),
             F.array_union("sk_all", "kw").alias("p_words"),
             signals.degree_rank(C("degree")).alias("p_degree"), C("degree").alias("p_degree_name"), C("graduation_year").alias("p_year"),
-            "target_locations", "target_directions", *arrays, "sk_total", "v9_total", "skills",
+            "target_locations", "target_directions", *arrays, "sk_total", "v9_total", "skills", "p_names",
         ),
         "profile-features",
     )
@@ -179,13 +175,20 @@ def lower_has(blob: Column, pattern: str) -> Column:
     return blob.rlike(pattern.removeprefix("(?i)"))
 
 
+def found_words(rows: DataFrame, batch: Batch, texts: dict[str, Column]) -> DataFrame:
+    """(ord, one array of word numbers per entry of ``texts``) for every row; the texts are normalised ones."""
+    staged = stage(rows.select("ord", *[t.alias(f"__{n}") for n, t in texts.items()]), "texts")
+    hits = occurrences(staged, "ord", {n: f"__{n}" for n in texts}, batch.words)
+    none = F.array().cast("array<int>")
+    return staged.select("ord").join(hits, "ord", "left").select("ord", *[F.coalesce(n, none).alias(n) for n in texts])
+
+
 def job_features(jobs: DataFrame, batch: Batch, as_of: str) -> DataFrame:
     """Everything the scorers need of a posting, without its texts.
 
     Every field is normalised once; all longer texts are put together from
-    the normalised fields.
+    the normalised fields. ``ord`` tells the postings apart.
     """
-    find = find_terms(batch.words)
     normal = jobs.withColumns({f"__{c}": norm(C(c)) for c in TEXT_FIELDS})
     texts = normal.withColumns(
         {
@@ -194,18 +197,15 @@ def job_features(jobs: DataFrame, batch: Batch, as_of: str) -> DataFrame:
             "__blob": side_by_side("role", "batch", "graduation", "jd"),
         }
     )
-    classified = P.classify(texts, batch.taxonomy, C("__career"), title=C("__role"), out="__scores", normal=True)
-    found = classified.withColumns({"__t": find(C("__role")), "__b": find(C("__body"))})
+    found = P.classify(texts, batch.taxonomy, C("__career"), title=C("__role"), out="__scores", normal=True)
+    hits = found_words(texts, batch, {"title_ids": C("__role"), "body_ids": C("__body")})
     flags = F.struct(*[lower_has(C("__blob"), p).alias(n) for n, p in (("campus", vocab.CAMPUS), ("intern", vocab.INTERN), ("senior", vocab.SENIOR), ("social", vocab.SOCIAL))])
     age = dates.age_days(dates.parse_date(C("updated_at")), as_of)
-    return found.select(
+    facts = found.select(
         "ord", "id", "company", "role", "location", "updated_at", "company_type", "batch",
         age.alias("age"),
         F.transform(F.slice("__scores", 1, 4), lambda r: r["d"]).alias("j_top"),
         F.coalesce(F.get("__scores", F.lit(0))["confidence"], F.lit(0)).alias("j_conf"),
-        hit_ids(C("__t")).alias("title_ids"),
-        hit_ids(C("__b")).alias("body_ids"),
-        F.array_union(hit_ids(C("__t")), hit_ids(C("__b"))).alias("all_ids"),
         flags.alias("flags"),
         signals.cohort_years(C("__blob")).alias("blob_years"),
         signals.cohort_years(C("graduation")).alias("cohort_years"),
@@ -217,22 +217,9 @@ def job_features(jobs: DataFrame, batch: Batch, as_of: str) -> DataFrame:
         signals.is_sparse(C("jd")).alias("sparse"),
         F.coalesce("source_tier", F.lit(1)).alias("tier"),
     ).withColumn("fresh", dates.freshness(C("age")))
+    return facts.join(hits, "ord").withColumn("all_ids", F.array_union("title_ids", "body_ids"))
 
 
 def all_pairs(features: DataFrame, batch: Batch) -> DataFrame:
-    """Every posting with every profile of the batch: a stated set of profiles against all rows."""
-    return features.join(F.broadcast(batch.profiles))
-
-
-def candidate_pairs(features: DataFrame, batch: Batch) -> DataFrame:
-    """Pairs whose top-four domains are equal or related, each once.
-
-    An equi-join on the domain: a posting meets a profile at the first of its
-    own domains the profile reaches. Pairs sharing nothing are capped at 62
-    points by the scorer. The profile side is broadcast because its row count
-    was checked when the batch was made (at most 20 000 profiles x reach).
-    """
-    left = features.withColumn("d", F.explode("j_top"))
-    right = batch.profiles.withColumn("__d", F.explode("p_reach"))
-    met = F.get(F.filter("j_top", lambda x: F.array_contains("p_reach", x)), F.lit(0))
-    return left.join(F.broadcast(right), (C("d") == C("__d")) & (C("d") == met)).drop("d", "__d")
+    """Every posting with every profile, for checks of the parts of a score; ``plans.recommend`` never makes these."""
+    return features.crossJoin(batch.profiles)

@@ -163,13 +163,11 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return score_final(score_base(place_eligibility(career_fit(skill_fit(domain_fit(pairs))))))
 
 
-def explain(pairs: DataFrame, words: tuple[str, ...], limit: int = 9) -> DataFrame:
-    """Adds hits: words of the profile found, title first. For rows to be shown;
-    ``words`` is the batch vocabulary."""
-    table = F.lit(list(words))
+def explain(pairs: DataFrame, limit: int = 9) -> DataFrame:
+    """Adds hits: words of the profile found, title first. For rows to be shown."""
 
     def named(ids: Column, n: int) -> Column:
-        return F.transform(F.slice(ids, 1, n), lambda i: F.get(table, i))
+        return F.transform(F.slice(ids, 1, n), lambda i: F.get(F.filter("p_names", lambda x: x["n"] == i), F.lit(0))["w"])
 
     title = F.array_intersect("sk_all", "title_ids")
     body = F.array_except(F.array_intersect("sk_all", "all_ids"), "title_ids")

@@ -1,95 +1,38 @@
-"""Which words of a vocabulary occur in a text: one pass per text.
+"""Which words of a small vocabulary occur in a text, as a column expression.
 
-Built-in functions can test one word at a time, which reads a text once per
-word. Here an Aho-Corasick automaton finds all words in a single pass, in
-Arrow batches, so the cost does not grow with the vocabulary. Matching is by
-substring; occurrences of the same word do not overlap.
+For a taxonomy's words, which are few and known when the query is written: each
+is sought in the text as a substring by built-in functions. Vocabularies that
+come from data, of any size, are searched by ``wordsearch``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
 
-MAX_TERMS = 100_000
 
+def _codes(text: Column, terms: Sequence[str]) -> Column:
+    """``2*number`` for a word seen once, ``2*number+1`` if it occurs again behind its first occurrence."""
+    if not terms:
+        return F.array().cast("array<int>")
 
-def _automaton(terms: Sequence[str]):
-    import ahocorasick
+    def code(term: Column, number: Column) -> Column:
+        behind = F.instr(text, term) + F.length(term)
+        again = F.call_function("locate", term, text, behind) > 0
+        return F.when((term != "") & F.contains(text, term), (number * 2 + F.when(again, 1).otherwise(0)).cast("int"))
 
-    auto = ahocorasick.Automaton()
-    for number, term in enumerate(terms):
-        if term:
-            auto.add_word(term, (number, len(term)))
-    auto.make_automaton()
-    return auto
+    return F.array_compact(F.transform(F.lit(list(terms)), code))
 
 
-def _codes(auto, text: str | None) -> list[int]:
-    """``2*number`` for a word seen once, ``2*number+1`` for twice or more."""
-    if not text:
-        return []
-    until: dict[int, int] = {}
-    seen: dict[int, int] = {}
-    for end, (number, size) in auto.iter(text):
-        if end - size >= until.get(number, -1):
-            seen[number] = seen.get(number, -1) + 1
-            until[number] = end
-    return sorted(2 * number + min(1, again) for number, again in seen.items())
-
-
-def _finder(terms: tuple[str, ...], first: int):
-    @pandas_udf("array<int>")
-    def find(batches: pd.Series) -> pd.Series:
-        auto = _cached(terms)
-        if not len(auto):
-            return batches.map(lambda _: [])
-        return batches.map(lambda text: [c + 2 * first for c in _codes(auto, text)])
-
-    # Keeps the optimizer from inlining, and so repeating, a costly search.
-    return find.asNondeterministic()
-
-
-_CACHE: dict[tuple[str, ...], object] = {}
-
-
-def _cached(terms: tuple[str, ...]):
-    """One automaton per Python worker and vocabulary."""
-    if terms not in _CACHE:
-        if len(_CACHE) > 4:
-            _CACHE.clear()
-        _CACHE[terms] = _automaton(terms)
-    return _CACHE[terms]
-
-
-def find_terms(terms: Sequence[str], chunk: int = MAX_TERMS):
-    """Function column -> array<int> of codes. Large vocabularies are split into
-    automata of at most ``chunk`` words each, so no task holds more at a time."""
-    parts = [(tuple(terms[i : i + chunk]), i) for i in range(0, max(len(terms), 1), chunk)]
-    finders = [_finder(part, first) for part, first in parts]
-
-    def apply(text: Column) -> Column:
-        arrays = [find(text) for find in finders]
-        return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-
-    return apply
+def find_terms(terms: Sequence[str]):
+    """Function column -> array<int> of codes, ascending; none for a null text."""
+    return lambda text: _codes(F.coalesce(text, F.lit("")), terms)
 
 
 def find_each(terms: Sequence[str]):
     """As find_terms for a column of several texts: array<array<int>>."""
-    words = tuple(terms)
-    if len(words) > MAX_TERMS:
-        raise ValueError(f"vocabulary of {len(words)} words, limit {MAX_TERMS}")
-
-    @pandas_udf("array<array<int>>")
-    def find(batches: pd.Series) -> pd.Series:
-        auto = _cached(words)
-        return batches.map(lambda texts: [_codes(auto, t) for t in (texts if texts is not None else [])])
-
-    return find.asNondeterministic()
+    return lambda texts: F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: _codes(F.coalesce(t, F.lit("")), terms))
 
 
 def hit_ids(codes: Column) -> Column:
