@@ -102,7 +102,7 @@ PEOPLE_CTES = {
 
 def with_people(body: str, **more: str) -> str:
     text = S.with_postings(body, **PEOPLE_CTES, **more)
-    for name in ("cv_top", "job_top", "word_hit", "pair", "skill_list", "ranked_words", "final", "job_facts", "skill", "kw", "person"):
+    for name in ("cv_top", "job_top", "word_hit", "pair", "skill_list", "ranked_words", "final", "job_facts", "skill", "kw", "person", "shown", "hit_words", "chosen"):
         text = text.replace(f"\n{name} as (", f"\n{name} as materialized (")
     return text
 
