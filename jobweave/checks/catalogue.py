@@ -62,17 +62,14 @@ MERGED_CTES = {
 }
 
 
-@CHECKS.add(
-    "merge_catalog",
-    S.with_postings(
-        "select key, ord, company, role, coalesce(length(jd_clean), 0) as jd_chars, "
-        + ", ".join(S.blank(f) + f" as {f}" for f in FILL)
-        + ", source_labels, source_urls from filled join labels using (key) join urls using (key)",
-        **MERGED_CTES,
-    ),
+MERGED_SELECT = (
+    "select key, ord, company, role, coalesce(length(jd_clean), 0) as jd_chars, "
+    + ", ".join(S.blank(f) + f" as {f}" for f in FILL)
+    + ", source_labels, source_urls from filled join labels using (key) join urls using (key)"
 )
-def merge_catalog(spark, sf):
-    df = catalogue.merge_catalog(fixtures.postings(spark, sf), FILL + ["jd"])
+
+
+def merged_shown(df):
     return df.select(
         "key", "ord", "company", "role", F.coalesce(F.length("jd"), F.lit(0)).cast("bigint").alias("jd_chars"),
         *[blank(C(f)).alias(f) for f in FILL],
@@ -80,6 +77,11 @@ def merge_catalog(spark, sf):
     )
 
 
+@CHECKS.add("merge_catalog", S.with_postings(MERGED_SELECT, **MERGED_CTES))
+def merge_catalog(spark, sf):
+    return merged_shown(catalogue.merge_catalog(fixtures.postings(spark, sf), FILL + ["jd"]))
+
+
 @CHECKS.add(
     "compact_catalog",
     S.with_postings(

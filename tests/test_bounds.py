@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobweave import fixtures, session, taxonomy
-from jobweave.operators import catalogue, features, pages, scoring, search
+from jobweave.operators import catalogue, features, pages, search
 from jobweave.plans import recommend as plan
 from jobweave.sources import feeds
 from jobweave.streaming import health, refresh
@@ -78,6 +78,31 @@ def test_refresh_needs_its_last_version(spark, tmp_path, postings):
             query.awaitTermination()
 
 
+def test_refresh_keeps_files_of_other_sources(spark, tmp_path, postings):
+    """Only delivered sources are written; a batch folded twice is one batch; old versions and their files go."""
+    rows = postings.where("source in ('direct-official:acme', 'ats:lever:stark', 'direct-official:globex')")
+    gates = spark.createDataFrame([], "source string, min_rows long, role_word string, place string, min_place_rows long")
+    files, fields = refresh.Snapshot(spark, str(tmp_path / "snap"), rows.schema), ["jd", "department"]
+    parts = lambda: {f"{p.parent.parent.name}/{p.parent.name}/{p.name}" for p in (tmp_path / "snap").glob("*/epoch=*/part=*/*.parquet")}
+    refresh.fold(files, 0, rows, gates, fields, buckets=4)
+    before = parts()
+    one = rows.where("source = 'ats:lever:stark' and ord % 4 = 1").withColumn("ord", F.col("ord") + 10**9)
+    for _ in range(2):
+        refresh.fold(files, 1, one, gates, fields, buckets=4)
+        now = refresh.latest(spark, files.path, 1, rows.schema)
+        assert now.where("source <> 'ats:lever:stark'").count() == rows.where("source <> 'ats:lever:stark'").count()
+        assert {r.ord for r in now.where("source = 'ats:lever:stark'").collect()} <= {r.ord for r in one.collect()}
+        want = catalogue.merge_catalog(now, fields)
+        got = refresh.latest_merged(spark, files.path, 1, rows.schema, fields)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert before < parts() and len({p for p in parts() if p.startswith("epoch=1") or "rows" in p}) > 0
+    refresh.fold(files, 2, rows.limit(0), gates, fields, buckets=4)  # an empty delivery keeps all
+    assert refresh.latest(spark, files.path, 2, rows.schema).count() == now.count()
+    files.prune(2, keep=1)
+    assert files.manifest(1) is None and refresh.latest(spark, files.path, 2, rows.schema).count() == now.count()
+    assert not before <= parts()
+
+
 def test_stale_sources(spark):
     rows = spark.createDataFrame([("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 16:00:00"), ("b", "2024-01-01 09:00:00")], "source string, window_end string").withColumn("window_end", F.to_timestamp("window_end"))
     assert {r.source: r.stale for r in health.stale_sources(rows, "2024-01-01 20:00:00").collect()} == {"a": False, "b": True}
@@ -95,4 +120,3 @@ def test_low_thresholds_score_every_pair(spark, postings):
     assert everything.where("mismatch and score > 42").isEmpty() and not everything.where("mismatch").isEmpty()
     kept = plan.recommend(jobs, few, matching.AS_OF, threshold=70)
     assert {(r.profile_id, r.ord) for r in kept.collect()} == {(r.profile_id, r.ord) for r in everything.where("score >= 70").collect()}
-    assert scoring.score_final is not None
