@@ -176,16 +176,21 @@ HITS = """list_concat(
   (select coalesce(list(s.term order by s.n)[1:5], []) from hit_words s where s.profile_id = f.profile_id and s.ord = f.ord and s.kind = 1))"""
 
 
+HIT_CTES = {
+    "hit_words": """select profile_id, ord, w, n, in_title, 0 as kind from shown join skill using (profile_id) join word_hit using (w, ord)
+          union all select profile_id, ord, w, n, in_title, 1 from shown join kw using (profile_id) join word_hit using (w, ord)""",
+    "placed": "select *, case when kind = 1 then 2 when in_title then 0 else 1 end as grp, row_number() over (partition by profile_id, ord, kind, case when kind = 1 then false else in_title end order by n) as r from hit_words",
+    "chosen": "select profile_id, ord, w, min(grp * 1000 + r) as place from placed where r <= case grp when 1 then 7 else 5 end group by profile_id, ord, w",
+    "joined": """select profile_id, ord, string_agg(w, ';' order by place) as hits from (select * from chosen qualify row_number() over (partition by profile_id, ord order by place) <= 9) group by profile_id, ord""",
+}
+
+
 @CHECKS.add(
     "explain_hits",
     with_people(
         "select profile_id, ord, score, coalesce(hits, '') as hits from shown left join joined using (profile_id, ord)",
         shown="select profile_id, ord, score from final where score >= 80",
-        hit_words="""select profile_id, ord, w, n, in_title, 0 as kind from shown join skill using (profile_id) join word_hit using (w, ord)
-          union all select profile_id, ord, w, n, in_title, 1 from shown join kw using (profile_id) join word_hit using (w, ord)""",
-        placed="select *, case when kind = 1 then 2 when in_title then 0 else 1 end as grp, row_number() over (partition by profile_id, ord, kind, case when kind = 1 then false else in_title end order by n) as r from hit_words",
-        chosen="select profile_id, ord, w, min(grp * 1000 + r) as place from placed where r <= case grp when 1 then 7 else 5 end group by profile_id, ord, w",
-        joined="""select profile_id, ord, string_agg(w, ';' order by place) as hits from (select * from chosen qualify row_number() over (partition by profile_id, ord order by place) <= 9) group by profile_id, ord""",
+        **HIT_CTES,
     ),
 )
 def explain_hits(spark, sf):
@@ -194,6 +199,30 @@ def explain_hits(spark, sf):
     return both(scoring.explain(df), "score", F.array_join("hits", ";").alias("hits"))
 
 
+WORDING = """list_filter([
+  case when exact then mine || ' · 岗位领域直接匹配' when v > 0 then mine || ' · 相邻职业领域' when mismatch then mine || ' ↔ ' || theirs || ' 领域冲突' else '职业领域证据较弱' end,
+  case when coalesce(hits, '') <> '' then '技能 ' || array_to_string(string_split(hits, ';')[1:3], ' · ') end,
+  case when senior then '资深/经验要求冲突' when social and not campus then '社会招聘' when contains(blob, p_year) then p_year || '届符合' when campus then '校招 / 应届' when intern then '实习' end,
+  case when place > 0 then '目标城市' end, case when unmet then '学历可能不满足' when j_degree > 0 and p_degree > 0 then '学历满足' end,
+  ['公开聚合来源', '公开聚合来源', '公开聚合来源', '高校就业网发现', '国家就业平台', '权威/已验证招聘来源', '企业官方招聘源', '企业官网直连'][source + 1]], lambda x: x is not null)"""
+
+
+@CHECKS.add(
+    "reasons",
+    with_people(
+        f"""select profile_id, ord, array_to_string(list_filter(told, lambda x, i: list_position(told, x) = i)[1:7], ';') as reasons from (select s.profile_id, s.ord, {WORDING} as told
+          from shown s left join joined using (profile_id, ord) left join my_domain using (profile_id) left join their_domain using (ord) left join pair using (profile_id, ord))""",
+        shown="select * exclude (hits) from final where score >= 80",
+        my_domain="select t.profile_id, n.name as mine from cv_top t join names n using (d) where t.i = 0",
+        their_domain="select t.ord, n.name as theirs from job_top t join names n using (d) where t.i = 0",
+        **HIT_CTES,
+    ),
+)
+def reasons(spark, sf):
+    df = plan.recommend(fixtures.postings(spark, sf), batch(spark, sf), AS_OF, threshold=80)
+    return both(scoring.reasons(scoring.explain(df), TAX), F.array_join("reasons", ";").alias("reasons"))
+
+
 PRE_CTES = {
     "hay": f"select ord, updated_at, source_tier, coalesce({S.norm(S.joined('role', 'department', 'jd'))}, '') as hay, {S.rx(S.joined('role', 'batch', 'graduation'), vocab.QUICK_CAMPUS)} as campus, {S.age('updated_at')} as age from postings",
     "strong22": "select * from (values "

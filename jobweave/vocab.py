@@ -133,6 +133,9 @@ JOB_FIELD = "(?i)job|position|post|recruit|career|vacan|duty|require|qualif|resp
 DUTY = r"(?i)岗位职责|工作职责|职位职责|职位描述|工作内容|job\s*(?:description|responsibilit)"
 QUALIFICATION = "(?i)任职要求|任职资格|职位要求|岗位要求|基本要求|qualifications?|requirements?"
 PAGE_YEAR = "(?i)2027|27届|2026[-—–]?2027|校园招聘|校招|应届|毕业生|graduate|campus|intern|实习"
+SITE_TAIL = r"(?i)\s*[-|｜].*(招聘|career|公司|官网).*$"
+POSITION_LABEL = r"(?:岗位|职位)(?:名称)?\s*[:：]\s*([^,，。；;]{2,80})"
+TITLE_LENGTH = (2, 110)
 GENERIC_TITLE = (
     r"(?i)^(招聘|招聘职位|职位列表|岗位列表|人才招聘|校园招聘|社会招聘|实习生招聘|加入我们|careers?|jobs?|positions?|join us)"
     r"[\s|｜_-]*$"
