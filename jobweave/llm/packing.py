@@ -13,6 +13,7 @@ whole, even if a third of all pieces share it.
 from __future__ import annotations
 
 import bisect
+import struct
 import unicodedata
 import zlib
 from collections import Counter
@@ -56,7 +57,7 @@ class WordIds(dict):
     merges. All other words go through the whole tokenizer.
     """
 
-    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
+    MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 
     def __init__(self, path: str):
         import os
@@ -67,40 +68,46 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merged = self.tokenizer.model.tokenize
-        self.runs: dict[str, bytes] = {}  # of letters, and of marks
+        self.runs: dict[bytes, bytes] = {}  # of letters, and of marks
         # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.alphabet = dict(zip([b for b in range(256) if b not in set(printable)], range(256, 512)))
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = dict(zip([b for b in range(256) if b not in printable], range(256, 512)))
 
-    def _letters(self, run: str) -> bytes:
-        if run not in self.runs:
-            shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
-            self.runs[run] = np.array([t.id for t in self.merged(shown)], "<u4").tobytes()
-        return self.runs[run]
+    def _letters(self, run: bytes) -> bytes:
+        shown = run.decode("latin-1")
+        ids = [t.id for t in self.merged(shown if run.isascii() else shown.translate(self.alphabet))]
+        self.runs[run] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _plain(self, stem: bytes) -> bytes | None:
+        """A run of letters as the normalisation leaves it, or None where it does more than lower-case."""
+        word = stem.decode()
+        small = "".join([c.lower() for c in word])
+        return small.encode() if word.isalpha() and small.isalpha() and unicodedata.is_normalized("NFC", word) else None
+
     def learn(self, words: set[bytes]) -> None:
         """Make sure that all of ``words`` are known."""
         if len(self) > WORD_CACHE:
             self.clear()
             self.runs.clear()
-        whole, split, marks = [], [], set()
+        runs, whole = self.runs, []
         for raw in words.difference(self):
-            word = raw.decode()
-            stem = word.rstrip(self.MARKS)
-            small = stem.lower()
-            if stem.isalpha() and (stem.isascii() or small == stem and unicodedata.is_normalized("NFC", stem)):
-                split.append((raw, small, word[len(stem):]))
-                marks.add(word[len(stem):])
-            else:
-                whole.append(word)
-        new = sorted(marks.difference(self.runs))
-        self.runs.update(zip(new, self._whole(new)))
-        for raw, stem, after in split:
-            self[raw] = self._letters(stem) + self.runs[after]
-        self.update(zip([w.encode() for w in whole], self._whole(whole)))
+            stem = raw.rstrip(self.MARKS)
+            small = stem.lower() if stem.isalpha() else self._plain(stem)  # of bytes: only ASCII letters
+            if small is None:
+                whole.append(raw)
+                continue
+            ids = runs.get(small) or self._letters(small)
+            if len(stem) < len(raw):
+                after = raw[len(stem):]
+                if after not in runs:
+                    runs[after] = self._whole([after.decode()])[0]
+                ids += runs[after]
+            self[raw] = ids
+        self.update(zip(whole, self._whole([w.decode() for w in whole])))
 
 
 _WORDS: dict[str, WordIds] = {}  # of this Python worker, by tokenizer file
