@@ -39,13 +39,16 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 FURNITURE_WORDS = frozenset("header ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar widget widgets related recommended share sharing social cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist respond disqus discussion pagination pager toolbar skip".split())
 #: An article within an article and under such a name is a comment on it, as HTML means nested articles.
 COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+COMMENTED = re.compile("comment|disqus", re.I)
+COMMENT_BOXES = frozenset("div section ul ol dl table aside details".split())
 MAIN_TAGS, HOLDERS = frozenset(("article", "main")), frozenset(("html", "body", "article", "main"))
 #: Only boxes are removed for low importance, never a paragraph or heading on its own.
 BOXES = frozenset("div section ul ol dl table figure header details center fieldset".split())
 #: What a page is laid out with; the other boxes are also found within running text.
 LAYOUT = frozenset("div section header details center fieldset article main nav aside footer form".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+#: A quote opens a value only behind an equals sign; any other is a character of the tag.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -85,6 +88,8 @@ def parse(text: str) -> Node:
         if end > at:
             open_[-1].children.append(entities.unescape(text[at:end]))
         if not found:
+            if COMMENTED.search(text):
+                _mark_comments(root)
             return root
         at = found.end()
         if found.group(2) is None:
@@ -229,6 +234,22 @@ def style_trees(pages: DataFrame, gamma: float = 0.9, min_tasks: int = 1) -> Dat
     return tree.select("host", "path", "pages", "presentation", "content", importance.alias("importance"))
 
 
+def _mark_comments(root: Node) -> None:
+    """A box named for comments that holds elements so named themselves is a list of them: furniture."""
+    waiting, seen_below = [(root, False)], set()  # elements with something named for comments in them
+    while waiting:
+        node, done = waiting.pop()
+        children = [c for c in node.children if not isinstance(c, str)]
+        if not done:
+            waiting.append((node, True))
+            waiting.extend((c, False) for c in children)
+            continue
+        if any(c.comments or id(c) in seen_below for c in children):
+            seen_below.add(id(node))
+            if node.comments and node.tag in COMMENT_BOXES:
+                node.furniture = True
+
+
 def _mains(root: Node) -> tuple[set[int], set[int]]:
     """(the outermost main elements that are no furniture and are in none, all elements that hold one of them), as ids."""
     found, holders, waiting = set(), set(), [(root, None)]
@@ -247,6 +268,26 @@ def _mains(root: Node) -> tuple[set[int], set[int]]:
     return found, holders
 
 
+def _only_teasers(root: Node, mains: set[int]) -> bool:
+    """Whether the page's own heading and most of its running text lie outside its main elements: those tease other pages."""
+    inside = outside = 0
+    heading, waiting = False, [(root, False)]
+    while waiting:
+        node, within = waiting.pop()
+        if node.furniture or node.href is not None or node.header and not within:
+            continue
+        within = within or id(node) in mains
+        heading = heading or node.tag == "h1" and not within
+        for child in node.children:
+            if not isinstance(child, str):
+                waiting.append((child, within))
+            elif within:
+                inside += len(child.strip())
+            else:
+                outside += len(child.strip())
+    return heading and outside > inside
+
+
 def main_text(page: str | None, low: frozenset[str] = frozenset(), weak: frozenset[str] = frozenset()) -> str:
     """The blocks of a page's main text, one a line, without furniture, the boxes at ``low`` paths and those named like furniture at ``weak`` ones.
 
@@ -254,6 +295,8 @@ def main_text(page: str | None, low: frozenset[str] = frozenset(), weak: frozens
     """
     root = parse(page or "")
     mains, holders = _mains(root)
+    teasers = mains if mains and _only_teasers(root, mains) else set()
+    mains, holders = (set(), set()) if teasers else (mains, holders)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -276,7 +319,7 @@ def main_text(page: str | None, low: frozenset[str] = frozenset(), weak: frozens
         node, path, inside, headings, depth = item
         inside = inside or id(node) in mains
         unimportant = node.tag in BOXES and (path in low or node.named and path in weak) and id(node) not in mains and id(node) not in holders
-        if node.furniture or unimportant or node.main and depth == 2:
+        if node.furniture or unimportant or id(node) in teasers or node.main and depth == 2:
             if node.tag in BLOCKS:
                 flush()
             continue

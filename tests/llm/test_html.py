@@ -1,3 +1,4 @@
+import pytest
 from jobweave.llm import html_main
 
 
@@ -70,3 +71,20 @@ def test_classless_boxes_are_judged_by_their_place(spark):
         for i in range(12):
             lines = [f"Title {i}"] + [f"Story {h} {i} {k}" for k in range(3 + (i % 3) * (h == 1) + 40 * (h == 2))] + [f"Point {i}"] * (i % 2)
             assert got[100 * h + i].split("\n") == lines, (h, i)
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    # a stray quote is a character of its tag
+    ("<article><p style=\"color:red\"\">One</p><p class=\"x\">Two</p><p it's>Three</p></article>", "One\nTwo\nThree"),
+    ("<article><p title = \"a > b\">One</p><p title='>'>Two</p><p title=a>Three</p></article>", "One\nTwo\nThree"),
+    # a list of comments, in boxes or articles, within the article or behind it
+    ("<article><p>Body</p><section id=\"comments\"><div class=\"comment\"><p>nice post</p></div><div class=\"comment\"><p>agreed</p></div></section></article>", "Body"),
+    ("<div class=post><h1>T</h1><p>Body</p></div><div id=comments><article class=comment><p>nice post</p></article></div>", "T\nBody"),
+    # a single element of that name is text
+    ("<article><section class=\"comment\"><p>A comment on the law</p></section></article>", "A comment on the law"),
+    # articles that only tease other pages
+    ("<div class=post><h1>T</h1><p>Main body of the page</p></div><div class=teasers><article><h3>Other story</h3></article></div>", "T\nMain body of the page"),
+    ("<h1>Blog</h1><article><h2>One</h2><p>A long story of its own.</p></article><article><h2>Two</h2><p>And another one.</p></article>", "One\nA long story of its own.\nTwo\nAnd another one."),
+])
+def test_quotes_comments_and_teasers(page, want):
+    assert html_main.main_text(page) == want
