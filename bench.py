@@ -27,7 +27,7 @@ def main() -> None:
     registered = checks.load().queries
     spark.range(1000).count()
     # a run that takes far too long still reports: its last query is cancelled and told as unfinished
-    limit = threading.Timer(float(os.environ.get("BENCH_LIMIT", "1500")), spark.sparkContext.cancelAllJobs)
+    limit = threading.Timer(float(os.environ.get("BENCH_LIMIT", "900")), spark.sparkContext.cancelAllJobs)
     limit.daemon = True
     limit.start()
     times, unfinished = {}, []
