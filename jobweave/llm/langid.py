@@ -24,8 +24,12 @@ LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Words whose scores a worker keeps; beyond it the memory is emptied, results stay the same.
 WORD_CACHE = 300_000
-#: Longer runs of letters are read in slices of this many; whole texts are read all the same.
+#: Letters kept in the word scores; beyond it the memory is emptied as well.
+LETTER_CACHE = 20_000_000
+#: Runs of at least this many letters are summed slice by slice, segmentations across the cuts included.
 SLICE = 48
+#: Slices whose sums are found at once, a bound on memory.
+SLICES_AT_ONCE = 512
 #: Probabilities are carried times GAIN per character, and none is below FLOOR, so that a slice stays within double precision.
 GAIN, FLOOR = 1e3, 1e-9
 
@@ -40,17 +44,21 @@ def vocabulary(path: str, longest: int = 12) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """The marked letter runs of a text; runs longer than SLICE in slices, only the first of which is marked."""
+    """The marked letter runs of a text, lower case; digits, fractions and circled numbers are no letters."""
     out = []
     for w in LETTERS.findall(text.lower()):
-        if len(w) < SLICE:
+        if w.isalpha():
             out.append(START + w)
         else:
-            w = START + w
-            out.extend(w[i:i + SLICE] for i in range(0, len(w), SLICE))
+            out.extend(START + run for run in "".join(c if c.isalpha() else " " for c in w).split())
     return out
 
 
+def slices(word: str) -> list[str]:
+    """A word in parts of at most SLICE characters."""
+    return [word[i:i + SLICE] for i in range(0, len(word), SLICE)]
+
+
 class Pieces:
     """Piece numbers of all substrings of many words at once, by rolling hashes."""
 
@@ -129,10 +137,42 @@ def forward(edges: list, n: int, chances: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def long_score(word: str, index: Pieces, chances: np.ndarray) -> np.ndarray:
+    """Log probability of one word of any length in each language, summed over all its segmentations.
+
+    A piece has at most m characters, so what a slice adds depends only on the
+    m sums before it: each slice is a matrix from the m sums at its start to
+    the m at its end, found for many slices at once, and the matrices are
+    applied in turn.
+    """
+    m, langs = index.longest, chances.shape[1]
+    state, log = np.zeros((m, langs)), np.zeros(langs)
+    state[-1] = 1.0
+    padded = "\0" * (m - 1) + word  # no piece holds the padding
+    starts = range(0, len(word), SLICE)
+    for at in range(0, len(starts), SLICES_AT_ONCE):
+        # longest first, as edges() asks: only the last one of the word is shorter
+        some = [padded[i:i + m - 1 + SLICE] for i in starts[at:at + SLICES_AT_ONCE]]
+        sums = np.zeros((m - 1 + SLICE + 1, len(some), m, langs))
+        sums[np.arange(m), :, np.arange(m)] = 1.0
+        for end, here in enumerate(index.edges(some), 1):
+            if end >= m:
+                for start, rows, pieces in here:
+                    sums[end, rows] += sums[start, rows] * (chances[pieces] * GAIN ** (end - start))[:, None]
+        for i, part in enumerate(some):
+            state = np.einsum("ogl,gl->ol", sums[len(part) - m + 1:len(part) + 1, i], state)
+            top = state.max(0)
+            state, log = state / top, log + np.log(top)
+    return np.log(state[-1]) + log - len(word) * np.log(GAIN)
+
+
 def word_scores(words: list[str], index: Pieces, chances: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language, summed over its segmentations."""
-    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    order = sorted((i for i in range(len(words)) if len(words[i]) <= SLICE), key=lambda i: -len(words[i]))
     out = np.empty((len(words), chances.shape[1]))
+    for i, word in enumerate(words):
+        if len(word) > SLICE:
+            out[i] = long_score(word, index, chances)
     for at in range(0, len(order), 20_000):
         own = order[at:at + 20_000]
         some = [words[i] for i in own]
@@ -180,9 +220,14 @@ def fit(docs: DataFrame, pieces: list[str], rows_per_language: int = 400, fit_ch
 
     The sample is bounded: for every language the ``rows_per_language`` first
     different texts in the order of their hash, of those with at most
-    ``fit_chars`` characters. Only word counts of that sample reach the driver.
+    ``fit_chars`` characters. A language that has only longer texts is learned
+    from the first ``fit_chars`` characters of such a sample of them. Words
+    beyond SLICE letters are learned in slices, and scored whole. Only word
+    counts of that sample reach the driver.
     """
-    usable = docs.select(F.col("text"), F.col("lang")).where("lang is not null and text is not null").where(F.length("text") <= fit_chars)
+    labelled = docs.select(F.col("text"), F.col("lang")).where("lang is not null and text is not null").withColumn("over", F.length("text") > fit_chars)
+    measured = stage(labelled.groupBy("lang").agg(F.min("over").alias("over")), "lengths")
+    usable = labelled.join(measured, ["lang", "over"], "left_semi").withColumn("text", F.substring("text", 1, fit_chars))
     keyed = usable.select("lang", F.xxhash64("text").alias("key"))
     # Keys are uniform, so those below a threshold that some four times the wanted number pass hold the
     # wanted ones; however large a language, no more than these meet in the window.
@@ -196,7 +241,7 @@ def fit(docs: DataFrame, pieces: list[str], rows_per_language: int = 400, fit_ch
         seen: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.update((lang, w) for w in words_of(text))
+                seen.update((lang, part) for w in words_of(text) for part in slices(w))
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
@@ -214,15 +259,17 @@ class Scorer:
     def __init__(self, model: dict, spread: float = 32.0):
         self.langs, self.chances, self.index, self.spread = model["langs"], model["chances"], Pieces(model["pieces"]), spread
         self.known: dict[str, int] = {}
+        self.letters = 0
         self.table = np.empty((0, len(self.langs)))
 
     def _rows(self, texts: list[list[str]]) -> None:
-        if len(self.known) > WORD_CACHE:
-            self.known, self.table = {}, self.table[:0]
+        if len(self.known) > WORD_CACHE or self.letters > LETTER_CACHE:
+            self.known, self.letters, self.table = {}, 0, self.table[:0]
         new = list({w for ws in texts for w in ws if w not in self.known})
         if new:
             first = len(self.known)
             self.known.update(zip(new, range(first, first + len(new))))
+            self.letters += sum(map(len, new))
             self.table = np.concatenate([self.table, word_scores(new, self.index, self.chances)])
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -248,13 +295,13 @@ def predict(docs: DataFrame, model: dict | None, min_tasks: int = 1) -> DataFram
 
     The score is the share of the best language among all, with the evidence
     of long texts scaled to that of 32 words. Null texts and texts without a
-    letter are ``und`` with score 0; so is everything without a model. Extra
+    letter (``str.isalpha``) are ``und`` with score 0; so is everything without a model. Extra
     columns stay; one named lang_pred or score is replaced.
     """
     docs = docs.drop("lang_pred", "score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
-    model = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages numbers, fixed by the vocabulary
+    model = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages numbers: a column per label found, few by nature
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,24 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(got).all()
 
 
+def test_long_words_are_summed_across_their_slices():
+    pieces = ["▁", "▁ab", "a", "ab", "abc", "b", "bca", "c"]
+    chances = np.random.default_rng(1).random((len(pieces) + 1, 2))
+    known = {p: i for i, p in enumerate(pieces)}
+    for n in (47, 48, 49, 95, 96, 97, 1000, 48 * langid.SLICES_AT_ONCE + 5):
+        word = "▁" + ("abcab" * n)[:n - 4] + "xbca"
+        log, last = 0.0, [np.ones(2)]  # one position at a time, rescaled
+        for end in range(1, len(word) + 1):
+            here = sum(last[-k] * chances[known.get(word[end - k:end], len(pieces))] for k in range(1, min(4, end) + 1) if k == 1 or word[end - k:end] in known)
+            log, last = log + np.log(here), [x / here for x in last[-3:]] + [np.ones(2)]
+        assert np.allclose(langid.word_scores([word, "▁ab"], langid.Pieces(pieces), chances)[0], log, rtol=1e-9)
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    df = spark.createDataFrame([("a", "ab ab"), ("a", "ab " * 50), ("b", "ba " * 50)], "lang string, text string")
+    assert langid.fit(df, ["▁ab", "▁ba"], fit_chars=20)["langs"] == ["a", "b"]
+
+
 def test_expectation_maximisation_raises_the_likelihood():
     counts = {("a", "▁aab"): 30, ("a", "▁abab"): 20, ("b", "▁bba"): 25, ("b", "▁ab"): 5}
     index = langid.Pieces(["▁", "a", "b", "ab", "▁a", "▁b"])
@@ -42,7 +60,8 @@ def test_expectation_maximisation_raises_the_likelihood():
 
 def test_words_are_read_whole():
     assert langid.words_of("A1b-C_d é") == ["▁a", "▁b", "▁c", "▁d", "▁é"]
-    assert "".join(langid.words_of("x" * 1000)) == "▁" + "x" * 1000 and langid.words_of("1 2 !") == []
+    assert langid.words_of("x" * 1000) == ["▁" + "x" * 1000] and langid.words_of("1 2 !") == []
+    assert langid.words_of("½ ² ① Ⅷ 三") == ["▁三"] and langid.words_of("a½b") == ["▁a", "▁b"]
 
 
 def test_held_out_accuracy(spark):
@@ -51,7 +70,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_undetermined(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (4, "und der")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "12 ½²① !"), (4, "und der")], "doc_id long, text string")
     model = {"pieces": ["▁der", "▁und"], "langs": ["de", "en"], "chances": np.array([[0.5, 0.01], [0.4, 0.01], [1e-6, 1e-6]])}
     assert {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()} == {1: "und", 2: "und", 3: "und", 4: "de"}
     assert {r.score for r in langid.predict(df, None).collect()} == {0.0}
