@@ -336,16 +336,37 @@ REGISTRY = [
 ]
 
 
+def _official_sql(registry: str) -> str:
+    company = S.blank(S.clean("company"))
+    return S.with_postings(
+        f"""select ord, coalesce(f.url, nullif(apply_url, ''), nullif(notice_url, ''), '') as official_url
+        from postings left join firsts f on {company} = f.known""",
+        registry=registry,
+        companies=f"select distinct {company} as known from postings",
+        firsts="select known, arg_min(url, i) as url from companies join registry on known <> '' and (contains(known, name) or contains(name, known)) group by known",
+    )
+
+
+def _official(spark, sf, registry):
+    return ordered(catalogue.official_lookup(fixtures.postings(spark, sf), registry), blank(C("official_url")).alias("official_url"))
+
+
 @CHECKS.add(
     "official_lookup",
-    S.with_postings(
-        f"""select ord, coalesce((select arg_min(url, i) from registry where contains({S.blank(S.clean('company'))}, name) or (contains(name, {S.blank(S.clean('company'))}) and {S.clean('company')} is not null)),
-        nullif(apply_url, ''), nullif(notice_url, ''), '') as official_url from postings""",
-        registry="select * from (values "
-        + ", ".join(f"({i}, {S.q(n)}, {S.q(u)})" for i, (n, u) in enumerate(reversed(REGISTRY)))
-        + ") t(i, name, url)",
-    ),
+    _official_sql("select * from (values " + ", ".join(f"({i}, {S.q(n)}, {S.q(u)})" for i, (n, u) in enumerate(reversed(REGISTRY))) + ") t(i, name, url)"),
 )
 def official_lookup(spark, sf):
-    df = catalogue.official_lookup(fixtures.postings(spark, sf), list(reversed(REGISTRY)))
-    return ordered(df, blank(C("official_url")).alias("official_url"))
+    rows = [(i, n, u) for i, (n, u) in enumerate(reversed(REGISTRY))]
+    return _official(spark, sf, spark.createDataFrame(rows, "no int, name string, url string"))
+
+
+#: Registered names that are longer than the companies' own, shorter, or the same.
+SUPPLIER_REGISTRY = """select s_suppkey as i, concat('https://', cast(s_suppkey as string), '.example.com') as url,
+  case s_suppkey % 3 when 0 then substring(s_name, 1, 17) when 1 then concat('the ', s_name, ' group') else s_name end as name
+  from {supplier} where s_suppkey % 4 > 0"""
+
+
+@CHECKS.add("official_lookup_table", _official_sql(SUPPLIER_REGISTRY.replace("{supplier}", "supplier")))
+def official_lookup_table(spark, sf):
+    registry = spark.sql(SUPPLIER_REGISTRY, supplier=fixtures.table(spark, sf, "supplier"))
+    return _official(spark, sf, registry.withColumnRenamed("i", "no"))

@@ -16,10 +16,10 @@ from ..functions.dates import parse_date
 from ..functions.text import canonical_company, clean, compact_text, has, joined, nonblank, stable_id
 from ..session import stage
 from . import keys
-from .terms import find_terms, hit_ids
+from .wordsearch import containing
 
 C = F.col
-MAX_REGISTRY = 20_000
+RANK_FIELDS = ("__updated_at", "__company")
 
 
 def dedupe_by_id(df: DataFrame) -> DataFrame:
@@ -182,36 +182,49 @@ def priority_union(df: DataFrame, source_order: dict[str, int], other: int = 99)
     return keys.keep_first(df, [keys.feed_key()], [rank, C("source"), C("ord")])
 
 
+def _cleaned(df: DataFrame, *names: str) -> DataFrame:
+    """Columns ``__name`` with the cleaned text of each field, '' for none; whatever reads them, each is cleaned once."""
+    return df.withColumns({f"__{n}": F.coalesce(clean(C(n)), F.lit("")) for n in names})
+
+
 def domestic_score() -> Column:
-    loc, role = F.coalesce(clean(C("location")), F.lit("")), F.coalesce(clean(C("role")), F.lit(""))
-    blob = joined(role, clean(C("jd")), clean(C("batch")), clean(C("graduation")))
-    place = F.when(loc.contains(vocab.CAPITAL), 65).when(loc.rlike("|".join(vocab.FIRST_TIER)), 38).otherwise(0)
-    tech = F.when(has(role, vocab.TECH_FEED), 22).when(has(clean(C("jd")), vocab.TECH_FEED), 9).otherwise(0)
+    """The score of a row whose fields ``_cleaned`` has prepared."""
+    blob = F.concat_ws(" ", "__role", "__jd", "__batch", "__graduation")
+    place = F.when(C("__location").contains(vocab.CAPITAL), 65).when(C("__location").rlike("|".join(vocab.FIRST_TIER)), 38).otherwise(0)
+    tech = F.when(has(C("__role"), vocab.TECH_FEED), 22).when(has(C("__jd"), vocab.TECH_FEED), 9).otherwise(0)
     link = F.when(clean(C("apply_url")).isNotNull(), 8).when(clean(C("notice_url")).isNotNull(), 3).otherwise(0)
     return (
         provenance.source_priority(clean(C("source")))
         + place
         + F.when(has(blob, vocab.CAMPUS_FEED), 35).otherwise(0)
-        + F.when(has(F.concat_ws("", clean(C("role")), clean(C("jd")), clean(C("batch")), clean(C("graduation"))), vocab.TARGET_YEAR), 18).otherwise(0)
+        + F.when(has(F.concat("__role", "__jd", "__batch", "__graduation"), vocab.TARGET_YEAR), 18).otherwise(0)
         + tech
         + link
     )
 
 
+def _ranked(rows: DataFrame, keys: Sequence[str], cap: int | None, newest_first: bool) -> DataFrame:
+    """Rows by score, date and ``keys``, all or the first ``cap``; RANK_FIELDS serve only the order."""
+    by_date = C("__updated_at").desc() if newest_first else C("__updated_at").asc()
+    return first_rows(rows.orderBy(C("score").desc(), by_date, *keys), cap).drop(*[c for c in rows.columns if c in RANK_FIELDS])
+
+
 def rank_domestic(df: DataFrame, cap: int | None = None, newest_first: bool = False) -> DataFrame:
-    """Domestic rows by score; equal scores are listed oldest first by default."""
-    rows = df.filter(provenance.is_domestic(C("location"), C("source"))).withColumn("score", domestic_score())
-    updated = F.coalesce(clean(C("updated_at")), F.lit(""))
-    by_date = updated.desc() if newest_first else updated.asc()
-    return first_rows(rows.orderBy(C("score").desc(), by_date, F.coalesce(clean(C("company")), F.lit("")), C("ord")), cap)
+    """Domestic rows by score; equal scores are listed oldest first by default.
+
+    A full sort reads its input twice, first to find the ranges, so the scores,
+    which read whole descriptions, are written down with their rows; with a
+    ``cap`` each task keeps its first rows and nothing is written.
+    """
+    rows = _cleaned(df.filter(provenance.is_domestic(C("location"), C("source"))), "role", "jd", "batch", "graduation", "location", "updated_at", "company")
+    scored = rows.withColumn("score", domestic_score()).drop("__role", "__jd", "__batch", "__graduation", "__location")
+    return _ranked(scored if cap is not None else stage(scored, "scored"), ["__company", "ord"], cap, newest_first)
 
 
 def rank_global(df: DataFrame, cap: int | None = None, newest_first: bool = False) -> DataFrame:
     blob = joined(clean(C("role")), clean(C("batch")), clean(C("graduation")))
     score = provenance.source_priority(clean(C("source"))) + F.when(has(blob, vocab.CAMPUS_FEED), 20).otherwise(0)
-    updated = F.coalesce(clean(C("updated_at")), F.lit(""))
-    by_date = updated.desc() if newest_first else updated.asc()
-    return first_rows(df.withColumn("score", score).orderBy(C("score").desc(), by_date, C("ord")), cap)
+    return _ranked(_cleaned(df.withColumn("score", score), "updated_at"), ["ord"], cap, newest_first)
 
 
 def signal_filter(df: DataFrame, cutoff: str, rule: str) -> DataFrame:
@@ -253,35 +266,24 @@ def tenant_guard(rows: DataFrame, registry: DataFrame, shared_host: str) -> Data
     return rows.join(known, (C("source") == C("__s")) & (direct | scoped), "left_semi")
 
 
-def official_lookup(rows: DataFrame, registry: Sequence[tuple[str, str]]) -> DataFrame:
+def official_lookup(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """Official link of the first registry company whose name contains, or is
     contained in, the row's company; the row's own link otherwise.
 
-    Names inside the row's company are found by one multi-pattern search; the
-    other direction is an equi-join on the pieces of the (short) registry names.
+    ``registry(no, name, url)``, of any size, ``no`` being its order. Distinct
+    names meet distinct companies by joins on their rarest grams, once in each
+    direction. Nameless entries match nothing; an entry without a url leaves
+    the row its own link.
     """
-    if len(registry) > MAX_REGISTRY:
-        raise ValueError(f"registry of {len(registry)} companies, limit {MAX_REGISTRY}")
-    spark = rows.sparkSession
-    names = list(dict.fromkeys(n for n, _ in registry))
-    first = {}
-    for i, (name, url) in enumerate(registry):
-        first.setdefault(name, (i, url))
-    at = F.lit([first[n][0] for n in names])
-    links = F.lit([url for _, url in registry])
-    pieces: dict[str, int] = {}
-    for i, (name, _) in enumerate(registry):
-        for a in range(len(name)):
-            for b in range(a + 1, len(name) + 1):
-                pieces.setdefault(name[a:b], i)
-    inside = spark.createDataFrame(list(pieces.items()), "__piece string, __at int")
     company = F.coalesce(clean(C("company")), F.lit(""))
-    found = F.array_min(F.transform(hit_ids(C("__hits")), lambda t: F.get(at, t)))
+    companies = stage(rows.select(company.alias("__company")).where("__company <> ''").distinct(), "companies")
+    names = stage(registry.where("name <> ''").groupBy("name").agg(F.min("no").alias("no"), F.min_by("url", "no").alias("url")), "names")
+    inside = containing(companies.select(C("__company").alias("text")), names.select(C("name").alias("word"))).select(C("text").alias("__company"), C("word").alias("name"))
+    around = containing(names.select(C("name").alias("text")), companies.select(C("__company").alias("word"))).select(C("word").alias("__company"), C("text").alias("name"))
+    first = inside.unionByName(around).join(names, "name").groupBy("__company").agg(F.min("no").alias("official_no"), F.min_by("url", "no").alias("__url"))
     return (
-        rows.withColumn("__company", company)
-        .withColumn("__hits", find_terms(names)(C("__company")))
-        .join(inside, C("__company") == C("__piece"), "left")
-        .withColumn("official_no", F.least(found, C("__at")))
-        .withColumn("official_url", F.coalesce(F.get(links, C("official_no")), nonblank(C("apply_url")), nonblank(C("notice_url"))))
-        .drop("__company", "__hits", "__piece", "__at")
+        rows.drop("official_no", "official_url").withColumn("__company", company)
+        .join(first, "__company", "left")
+        .withColumn("official_url", F.coalesce(C("__url"), nonblank(C("apply_url")), nonblank(C("notice_url"))))
+        .drop("__company", "__url")
     )

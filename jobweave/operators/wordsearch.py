@@ -64,3 +64,19 @@ def occurrences(rows: DataFrame, key: str, texts: dict[str, str], words: DataFra
         text = F.element_at(F.array(*[C(t) for t in texts.values()]), C("side") + 1)
         found = sure.unionByName(asked.where(F.contains(text, C("w"))).select(key, "side", "n"))
     return found.groupBy(key).agg(*[F.array_sort(F.collect_set(F.when(C("side") == k, C("n")))).alias(out) for k, out in enumerate(texts)])
+
+
+def containing(texts: DataFrame, words: DataFrame, size: int = 6) -> DataFrame:
+    """(text, word) for every word of ``words`` (word) that occurs anywhere in a text of ``texts`` (text), spaces included.
+
+    For short texts, such as names, on both sides; values must be distinct. A
+    word is sought by that of its grams of ``size`` characters which fewest
+    texts hold (a shorter word by itself), and pairs meeting there are checked
+    for the whole word. Nulls and empty strings occur nowhere and hold nothing.
+    """
+    grams = texts.select("text", F.explode(_pieces(C("text"), list(range(1, size + 1)))).alias("gram"))
+    own = F.when(F.length("word") >= size, _pieces(C("word"), [size])).when(C("word") != "", F.array("word"))
+    held = grams.groupBy("gram").agg(F.count("*").alias("texts"))
+    counted = words.select("word", F.explode(own).alias("gram")).join(held, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+    sought = counted.groupBy("word").agg(F.min_by("gram", "texts").alias("gram"), F.min("texts").alias("texts")).where("texts > 0")
+    return grams.join(sought.select("word", "gram"), "gram").where(F.contains("text", "word")).select("text", "word")
