@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from jobweave import fixtures, session
-from jobweave.operators import profiles
+from jobweave.operators import profiles, wordsearch
 
 C = F.col
 
@@ -19,3 +19,11 @@ def test_exploding_scores_computes_them_once(spark):
     plan = optimized(scored.select("ord", F.posexplode("scores")))
     assert "Generate" in plan and "Filter" not in plan
     assert [r.ord for r in scored.select("ord", F.posexplode("scores")).collect()] == [1, 1]
+
+
+def test_grams_are_never_broadcast(spark):
+    names = spark.createDataFrame([(f"name {i}",) for i in range(50)], "text string")
+    for words in (["name 4", "e 1"], ["a longer word"]):
+        found = wordsearch.containing(names, spark.createDataFrame([(w,) for w in words], "word string"))
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == sorted((f"name {i}", w) for i in range(50) for w in words if w in f"name {i}")
