@@ -1,9 +1,13 @@
 """What keeps queries in proportion to their input: plans and operators on rows of their own."""
 
+import os
+
 from pyspark.sql import functions as F
 
-from jobweave import fixtures, session
-from jobweave.operators import profiles, wordsearch
+from jobweave import fixtures, session, vocab
+from jobweave.functions import text
+from jobweave.operators import catalogue, greedy, profiles, wordsearch
+from jobweave.sources import feeds, records
 
 C = F.col
 
@@ -27,3 +31,59 @@ def test_grams_are_never_broadcast(spark):
         found = wordsearch.containing(names, spark.createDataFrame([(w,) for w in words], "word string"))
         assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, found.collect())) == sorted((f"name {i}", w) for i in range(50) for w in words if w in f"name {i}")
+
+
+def test_words_a_pattern_needs():
+    assert text.needed_words(vocab.INTERN) == ["实习", "intern"]
+    assert text.needed_words(r"(?i)a*|xy") == [] and set(text.needed_words(r"(?:[5-9]|1[0-9])\s*(?:年|years?)")) == {"年", "year"}
+    for name, pattern in vars(vocab).items():
+        if isinstance(pattern, str) and pattern.startswith("(?i)"):
+            assert all(w == w.lower() for w in text.needed_words(pattern)), name
+
+
+def test_guarded_patterns_find_what_the_pattern_finds(spark):
+    said = ["", None, "NEW  Grad 2027", "6 Years of", "５年 经验", "Intern", "资深", "off-CAMPUS", "3 - 5年", "8年工作经验", "internal", "INTERN ship", "ai", "no"]
+    rows = spark.createDataFrame([(s,) for s in said], "t string")
+    patterns = [vocab.CAMPUS, vocab.INTERN, vocab.SENIOR, vocab.SOCIAL, vocab.V6_EARLY, vocab.V6_SENIOR_TEXT, vocab.TECH_FEED, vocab.CAMPUS_FEED]
+    both = rows.select(*[(text.low_has(F.lower("t"), p, C("t")) == text.has(C("t"), p)).alias(str(i)) for i, p in enumerate(patterns)])
+    assert all(all(r) for r in both.collect())
+
+
+def test_parsing_is_not_repeated_per_name(spark):
+    session.apply_runtime_conf(spark)
+    rows = spark.createDataFrame([(1, '{"company": "a", "title": "b"}'), (2, '{"company": "a"}'), (3, "broken"), (4, None)], "ord long, json string").repartition(2)
+    out = records.map_records(rows, "json")
+    assert optimized(out).count("from_json") == 1
+    assert [(r.ord, r.company, r.role, r.jd) for r in out.collect()] == [(1, "a", "b", "b")]
+
+
+def test_rows_without_a_key_all_stay_and_are_read_once(spark):
+    rows = [(1, None), (1, None), (2, "r"), (3, "r")]
+    df = spark.createDataFrame([(o, "c", r, "x", 1, "", "", "s") for o, r in rows], "ord long, company string, role string, location string, source_tier int, apply_url string, notice_url string, source string")
+    best = catalogue.dedupe_best_quality(df)
+    assert sorted(r.ord for r in best.collect()) == [1, 1, 2]
+    assert optimized(best).count("LogicalRDD") == 1
+
+
+def test_domestic_ranking_reads_only_what_is_asked_for(spark, tmp_path):
+    path = str(tmp_path / "postings")
+    columns = "ord long, company string, role string, jd string, batch string, graduation string, location string, updated_at string, source string, apply_url string, notice_url string, extra string"
+    rows = [(1, "a", "AI", "x", "校招", "2027", "北京", "2026", "s", "u", "", "long"), (2, "b", "r", "实习", "", "", "上海", "2025", "s", "", "", "long")]
+    spark.createDataFrame(rows, columns).write.parquet(path)
+    ranked = catalogue.rank_domestic(spark.read.parquet(path)).select("ord", "score")
+    assert "extra" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert [r.ord for r in ranked.collect()] == [1, 2]
+
+
+def test_rows_that_share_no_key_need_no_round(spark):
+    rows = spark.createDataFrame([(1, ["a"]), (2, ["b", "c"]), (3, ["c", "d"]), (4, ["d"]), (5, []), (6, ["a"])], "ord long, k array<string>")
+    assert sorted(r.ord for r in greedy.dedupe_any_key(rows, C("k"), keep_keyless=True).collect()) == [1, 2, 4, 5]
+    assert sorted(r.ord for r in greedy.dedupe_any_key(rows.where("ord < 3"), C("k")).collect()) == [1, 2]
+
+
+def test_feed_files_are_compressed_and_read_back(spark, tmp_path):
+    path = str(tmp_path / "feed")
+    feeds.write_feed(spark.createDataFrame([(i, f"j{i}", "c", "r") for i in range(3000)], "ord long, id string, company string, role string"), path, 1, "x")
+    assert all(f.endswith(".gz") for f in os.listdir(path) if f.startswith("part-"))
+    for layout in ("lines", "documents"):
+        assert feeds.read_feed(spark, path, layout=layout).select("id").distinct().count() == 3000
