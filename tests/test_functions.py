@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from jobweave import vocab
 from jobweave.functions import dates, signals, text, urls
 from jobweave.operators import pages
 
@@ -62,3 +63,14 @@ def test_roles_and_titles(spark):
     assert one(spark, lambda c: pages.role_from_block(F.lit("返回首页"), c), many) == "桥梁检测工程师"
     assert one(spark, lambda c: pages.company_from_title(c), "校招：海星船厂2027届校园招聘") == "海星船厂"
     assert one(spark, signals.role_without_city, "质检工程师（武汉）") == "质检工程师"
+
+
+def test_fast_space(spark):
+    """The pattern Spark uses for white space finds the runs of the published one, whatever stands beside them."""
+    odd = [chr(i) for i in (*range(1, 0x300), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), *range(0x2FF0, 0x3010))]
+    texts = [t for c in odd for t in (c, f"a{c}b {c} c", f" {c}{c}d  e f", f"g{c} h {c}")]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    slow = F.regexp_replace("v", vocab.SPACE, " ")
+    assert df.filter(slow != F.col("v")).count() > 100
+    assert df.filter(slow != F.regexp_replace("v", vocab.SPACE_FAST, " ")).isEmpty()
+    assert df.filter(F.regexp_replace("v", f"[{vocab.DASHES}]", "-") != F.regexp_replace("v", vocab.DASHES_FAST, "-")).isEmpty()
