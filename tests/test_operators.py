@@ -88,3 +88,23 @@ def test_domains_of_a_text(spark):
     assert top["id"] == "gadget"
     # gizmo 9 twice and in the title, widget 8 once
     assert top["score10"] == round((9 * 2 * 1.85 + 8) * 10)
+
+
+def test_merge_repeated_numbers(spark):
+    """A feed number that repeats, or is missing, gives one row a key; texts meet no sort before the winners are known."""
+    names = ["id", "company", "role", "department", "industry", "location", "batch", "graduation", "education", "company_type", "salary", "source", "apply_url", "notice_url", "position_id", "updated_at"]
+    base = dict.fromkeys(names, "") | {"source": "s", "source_label": "l", "source_url": "u", "location": "武汉", "role": "焊工"}
+    rows = [
+        base | {"ord": 1, "company": "海星", "jd": "short"},
+        base | {"ord": 1, "company": "海星", "jd": "the longest  of them"},
+        base | {"ord": 2, "company": "海星集团", "jd": "medium text", "department": "车间"},
+        base | {"ord": None, "company": "北岸", "jd": "only one"},
+        base | {"ord": 5, "company": "北岸", "jd": None},
+    ]
+    kinds = ", ".join(f"{c} {'bigint' if c == 'ord' else 'string'}" for c in rows[0])
+    merged = catalogue.merge_catalog(spark.createDataFrame([tuple(r.values()) for r in rows], kinds))
+    got = {r["jd"]: r for r in merged.collect()}
+    assert set(got) == {"the longest of them", "only one"} and merged.count() == 2
+    assert got["the longest of them"]["department"] == "车间" and got["the longest of them"]["source_labels"] == ["l"]
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan[plan.index("max_by(struct") :].split("Aggregate")[0]
