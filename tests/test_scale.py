@@ -87,3 +87,11 @@ def test_feed_files_are_compressed_and_read_back(spark, tmp_path):
     assert all(f.endswith(".gz") for f in os.listdir(path) if f.startswith("part-"))
     for layout in ("lines", "documents"):
         assert feeds.read_feed(spark, path, layout=layout).select("id").distinct().count() == 3000
+
+
+def test_rows_dealt_evenly(spark, tmp_path):
+    """A table in one row group is read by one task; dealt out, no share holds much more than another."""
+    path = str(tmp_path / "one")
+    spark.range(20_000).coalesce(1).write.parquet(path)
+    sizes = session.dealt(spark.read.parquet(path)).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 20_000 and len(sizes) >= 16 and max(sizes) < 2 * 20_000 / len(sizes)
