@@ -5,8 +5,9 @@ import os
 from pyspark.sql import functions as F
 
 from jobweave import fixtures, session, vocab
+from jobweave.checks import matching
 from jobweave.functions import text
-from jobweave.operators import catalogue, greedy, profiles, wordsearch
+from jobweave.operators import catalogue, greedy, pages, profiles, search, source_graph, wordsearch
 from jobweave.sources import feeds, records
 
 C = F.col
@@ -95,3 +96,16 @@ def test_rows_dealt_evenly(spark, tmp_path):
     spark.range(20_000).coalesce(1).write.parquet(path)
     sizes = session.dealt(spark.read.parquet(path)).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(sizes) == 20_000 and len(sizes) >= 16 and max(sizes) < 2 * 20_000 / len(sizes)
+
+
+def test_search_rules_texts_out_unsqueezed(spark):
+    session.apply_runtime_conf(spark)
+    said = ["a  Widget-maker", "WIDGET–maker", "widget　maker", "wid get", None, "", "Big widget", "İ widget"]
+    fields = "company string, role string, location string, department string, industry string, jd string, batch string, graduation string"
+    rows = spark.createDataFrame([(i, None, None, "", "", "", s, "", "") for i, s in enumerate(said)], f"ord long, {fields}").repartition(2)
+    below = optimized(search.search_weighted(rows, "widget").select("ord")).splitlines()
+    assert not any("regexp_replace" in line for line in below if "Filter" in line)
+    for query in ("widget", "widget-maker", "big widget", "widget maker"):
+        tokens = query.split()
+        want = [i for i, n in enumerate(r.n for r in rows.orderBy("ord").select(text.normal(C("jd")).alias("n")).collect()) if all(t in n for t in tokens)]
+        assert sorted(r.ord for r in search.search_weighted(rows, query).collect()) == want, query
