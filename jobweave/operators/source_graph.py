@@ -58,16 +58,16 @@ def build_source_graph(registry: DataFrame, jobs: DataFrame) -> DataFrame:
         .withColumns({"priority": _clamped(C("priority")), "host": urls.host(C("url"))})
         .withColumn("key", urls.board_key(C("company"), C("url")))
     )
-    winner = keep_first(nodes, [C("key")], [C("priority").desc(), C("ord")])
-    origins = nodes.groupBy("key", "origin").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("origin", "n"))).alias("all")
-    )
-    others = F.filter("all", lambda o: (o["origin"] != C("origin")) | (o["n"] > 1))
-    return (
-        winner.join(origins, "key")
-        .withColumn("origins", F.transform(others, lambda o: o["origin"]))
-        .select("key", "company", "category", "url", "host", "priority", "origin", "origins")
+    # Winner and origins come out of one pass over the nodes: per origin the first node and their number, then per key.
+    fields = ["company", "category", "url", "host", "priority", "origin"]
+    place = F.struct((-C("priority")).alias("less"), C("ord"))
+    counted = nodes.groupBy("key", "origin").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("place"), *fields[:-1])).alias("first"))
+    merged = counted.groupBy("key").agg(
+        F.min(F.struct(C("first.place").alias("place"), *[C(f"first.{f}").alias(f) for f in fields[:-1]], "origin")).alias("first"),
+        F.array_sort(F.collect_list(F.struct("origin", "n"))).alias("all"),
     )
+    others = F.filter("all", lambda o: (o["origin"] != C("first.origin")) | (o["n"] > 1))
+    return merged.select("key", *[C(f"first.{f}").alias(f) for f in fields], F.transform(others, lambda o: o["origin"]).alias("origins"))
 
 
 def ranked(graph: DataFrame) -> DataFrame:

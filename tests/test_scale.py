@@ -109,3 +109,16 @@ def test_search_rules_texts_out_unsqueezed(spark):
         tokens = query.split()
         want = [i for i, n in enumerate(r.n for r in rows.orderBy("ord").select(text.normal(C("jd")).alias("n")).collect()) if all(t in n for t in tokens)]
         assert sorted(r.ord for r in search.search_weighted(rows, query).collect()) == want, query
+
+
+def test_graph_reads_its_nodes_once(spark):
+    registry = [(1, "acme", "https://acme.example.com/careers", "", "source", 60, False), (2, "acme", "https://acme.example.com/careers", "x", "watch", None, False)]
+    jobs = [(5, "acme", "https://acme.example.com/careers", None, "i", "", "s"), (6, "bolt", "https://jobs.lever.co/bolt/1", None, "i", "企业官方", "s"), (4, "bolt", "https://jobs.lever.co/bolt/2", None, "k", "企业官方", "s")]
+    reg = spark.createDataFrame(registry, "ord long, company string, url string, category string, kind string, priority int, authoritative boolean").repartition(2)
+    seen = spark.createDataFrame(jobs, "ord long, company string, apply_url string, notice_url string, industry string, source_label string, source string").repartition(2)
+    graph = source_graph.build_source_graph(reg, seen)
+    assert optimized(graph).count("Generate") == 1
+    rows = {r.company: r for r in graph.collect()}
+    assert (rows["acme"].origin, rows["acme"].priority, rows["acme"].category) == ("priority-registry", 95, "x")
+    assert [o for o in rows["acme"].origins if o != "observed-job"] == ["reviewed-registry"]
+    assert (rows["bolt"].category, rows["bolt"].priority, rows["bolt"].origins) == ("k", 78, ["observed-job"])
