@@ -122,3 +122,12 @@ def test_graph_reads_its_nodes_once(spark):
     assert (rows["acme"].origin, rows["acme"].priority, rows["acme"].category) == ("priority-registry", 95, "x")
     assert [o for o in rows["acme"].origins if o != "observed-job"] == ["reviewed-registry"]
     assert (rows["bolt"].category, rows["bolt"].priority, rows["bolt"].origins) == ("k", 78, ["observed-job"])
+
+
+def test_a_page_is_stripped_once(spark):
+    session.apply_runtime_conf(spark)
+    body = "<h1>Fitter</h1>" + "duty and need of the fitter " * 20
+    rows = spark.createDataFrame([(1, "u", f"<html>{body}</html>", "The"), (2, "u", "<p>short duty need</p>", "The"), (3, "u", None, "The")], "page_id long, url string, html string, company string").repartition(2)
+    jobs = pages.page_jobs(rows, "duty", "need")
+    assert optimized(jobs).count("(script|style)\\b") == 1
+    assert [(r.page_id, r.role) for r in jobs.collect()] == [(1, "Fitter")]
