@@ -131,3 +131,14 @@ def test_a_page_is_stripped_once(spark):
     jobs = pages.page_jobs(rows, "duty", "need")
     assert optimized(jobs).count("(script|style)\\b") == 1
     assert [(r.page_id, r.role) for r in jobs.collect()] == [(1, "Fitter")]
+
+
+def test_records_are_opened_once(spark):
+    session.apply_runtime_conf(spark)
+    posting = '{"@type": ["Thing", "JobPosting"], "title": "<b>Fitter</b>", "hiringOrganization": {"name": "A"}, "jobLocation": [{"address": {"addressLocality": "X"}}], "l": [], "o": {}}'
+    html = [f'<script type="application/ld+json">{p}</script>' for p in (posting, f"[[{posting}]]", '{"@type": "Thing", "title": "Fitter"}', "{broken, and long enough}", '"a string that is long enough"')]
+    rows = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id int, url string, html string").repartition(2)
+    jobs = pages.jsonld_jobs(rows)
+    assert not any("try_variant_get" in line and "hiringOrganization" in line for line in optimized(jobs).splitlines() if "Filter" in line)
+    assert optimized(records.walk_objects(rows, "html")).count("try_variant_get") == 1
+    assert sorted((r.page_id, r.role, r.company, r.location) for r in jobs.collect()) == [(0, "Fitter", "A", "X"), (1, "Fitter", "A", "X")]
