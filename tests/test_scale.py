@@ -142,3 +142,9 @@ def test_records_are_opened_once(spark):
     assert not any("try_variant_get" in line and "hiringOrganization" in line for line in optimized(jobs).splitlines() if "Filter" in line)
     assert optimized(records.walk_objects(rows, "html")).count("try_variant_get") == 1
     assert sorted((r.page_id, r.role, r.company, r.location) for r in jobs.collect()) == [(0, "Fitter", "A", "X"), (1, "Fitter", "A", "X")]
+
+
+def test_scored_pairs_are_made_once_for_all_orders(spark):
+    shown = matching.order_results(spark, "/root/testdata/sf0.001")
+    assert "Join" not in optimized(shown)
+    assert {r.mode: r["count"] for r in shown.groupBy("mode").count().collect()} == {"match": 60, "fresh": 60}
