@@ -19,8 +19,8 @@ STATISTICS = [
     "log_bytes", "log_words", "bytes_per_word", "upper", "digits", "symbols", "bangs", "bars", "other_marks", "beyond_ascii", "blank",
     "words_without_letters", "words_all_upper", "words_with_mark_end", "longest_word", "distinct_words", "word_runs", "distinct_pairs", "distinct_lines", "words_per_line",
 ]
-#: Texts are read in blocks of about this many bytes; a longer text is a block of its own.
-BLOCK_BYTES = 4_000_000
+#: Texts are read in blocks of about this many bytes, at some 80 bytes of memory a byte; a longer text is a block of its own.
+BLOCK_BYTES = 1_000_000
 
 _CLASS = {name: i for i, name in enumerate(("other", "lower", "upper", "digit", "symbol", "bang", "bar", "mark", "high", "space"), 0)}
 
@@ -123,11 +123,11 @@ def _block(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def statistics(texts: list[str | None]) -> np.ndarray:
     """One row of STATISTICS per text; null and empty texts have zeros."""
-    parts, out, block, size = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts], [], [], 0
-    for i, p in enumerate(parts):
-        block.append(p)
-        size += len(p)
-        if size >= BLOCK_BYTES or i + 1 == len(parts):
+    out, block, size = [], [], 0
+    for i, t in enumerate(texts):
+        block.append(t.encode("utf-8", "surrogatepass") if t else b"")
+        size += len(block[-1])
+        if size >= BLOCK_BYTES or i + 1 == len(texts):
             out.append(_block(np.frombuffer(b"".join(block), np.uint8), np.cumsum([0, *map(len, block)])))
             block, size = [], 0
     return np.concatenate(out) if out else np.zeros((0, len(STATISTICS)))
@@ -206,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(statistics(batch.column(1).to_pylist())), pa.list_(pa.float64()))], names=["y", "x"])
+            x = [row for i in range(0, batch.num_rows, 512) for row in statistics(batch.column(1)[i:i + 512].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
     rows = texts.mapInArrow(run, "y int, x array<double>").toArrow()
     if not rows.num_rows:

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -49,3 +50,14 @@ def test_held_out_accuracy(spark):
     held = got[got.held_out]
     assert set(held.doc_id) == {i for i in got.doc_id if zlib.crc32(str(i).encode()) % 5 == 0}
     assert (held.predicted == held.quality).mean() >= 0.93 and got.score.between(0, 1).all() and SF
+
+
+def test_statistics_take_little_memory():
+    """A batch of many texts is read in blocks whose arrays stay small beside a worker's memory."""
+    texts = ["some words of a line here\n" * 500] * 500
+    tracemalloc.start()
+    got = model.statistics(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 500 and (got == got[0]).all()
+    assert peak < 150e6
