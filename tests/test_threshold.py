@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from jobweave import fixtures, session
 from jobweave.checks import matching
-from jobweave.operators import features, scoring, wordsearch
+from jobweave.operators import classic, features, scoring, wordsearch
 from jobweave.plans import recommend as plan, threshold
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,24 @@ def test_words_in_texts(spark):
         want = tuple([n for n, w in listed if w and t and w in text] for text in (t or "", (t or "")[::-1]))
         assert got.get(i, ([], [])) == want, texts[i]
     assert wordsearch.occurrences(rows, "ord", {"a": "t"}, words.limit(0)).count() == 0
+
+
+def test_words_in_texts_of_several_fields(spark):
+    words = spark.createDataFrame([(0, "gear"), (1, "ring on"), (2, "on gear"), (3, "ear"), (4, "z")], "n int, w string")
+    rows = session.stage(
+        spark.createDataFrame([(0, "a ring", "on gear", "on gear"), (1, "gear", None, "gear"), (2, "", "gear z", "ring on"), (3, None, None, None)], "ord long, t string, u string, v string"), "texts"
+    )
+    got = {r.ord: (r.a, r.b, r.c) for r in wordsearch.occurrences(rows, "ord", {"a": ["t", "u"], "b": "v", "c": ["u", "v"]}, words).collect()}
+    assert got == {0: ([0, 1, 2, 3], [0, 2, 3], [0, 2, 3]), 1: ([0, 3], [0, 3], [0, 3]), 2: ([0, 3, 4], [1], [0, 1, 3, 4])}
+    # a field equal to another one of its row is cut once, for both
+    listed = {r.ord: {(x.fields, *x.tokens) for x in r.listed if x.tokens} for r in wordsearch._tokens(rows, "ord", ["t", "u", "v"]).collect()}
+    assert listed == {0: {(1, "a", "ring"), (6, "on", "gear")}, 1: {(5, "gear")}, 2: {(1, ""), (2, "gear", "z"), (4, "ring", "on")}, 3: set()}
+
+
+def test_pairs_do_no_text_work(spark):
+    """What depends on one side only is a feature of that side; a pair compares numbers."""
+    people = spark.createDataFrame([(1, [1, 2], [2, 9], [1, 2, 9], ["X"])], "profile_id long, role_all array<int>, sk_30 array<int>, p_cheap array<int>, target_locations array<string>")
+    jobs = spark.createDataFrame([(1, "X", 30, [1], [1, 2, 3, 4]), (2, None, -60, [], [3])], "ord long, location string, cheap_own int, title_ids array<int>, cheap_ids array<int>")
+    scored = classic.cheap_fit(jobs.crossJoin(people))
+    assert {r.ord: r.cheap_fit for r in scored.collect()} == {1: 30 + 28 + 22 + 7 + 2, 2: -60}
+    assert "RLIKE" not in scored._jdf.queryExecution().toString()
